@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import op6_sharding
+from inkwell.llm import op2_media, op3_bpe, op5_quality_rules, op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media.query,
+    "op3_bpe": op3_bpe.query,
+    "op5_quality_rules": op5_quality_rules.query,
     "op6_sharding": op6_sharding.query,
 }
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": op5_quality_rules.ORACLE,
     "op6_sharding": op6_sharding.ORACLE,
 }
