@@ -52,7 +52,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 10),
     Rule("stop_words", "n_stop_words", "n_words", 2, None),
     Rule("stop_word_count", "n_stop_words", None, 2, None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 60),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 30),
     Rule("words_with_letters", "n_letter_words", "n_words", 80, None),
@@ -78,9 +78,14 @@ def _covered(hashes: Column) -> Column:
 def _repeated(words: Column) -> Column:
     """Only texts in which some window recurs are sorted; the others are settled by counting distinct hashes."""
 
+    def paired(hashes: Column, step: int) -> Column:
+        return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
+
     def windows(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+        """Hashes of 2, 4 and then WINDOW = 8 words from each position; the last positions have no full window."""
+        two = base.let(hashes, lambda h: paired(h, 1))
+        four = base.let(two, lambda h: paired(h, 2))
+        return F.slice(base.let(four, lambda h: paired(h, 4)), F.lit(1), F.size(hashes) - (WINDOW - 1))
 
     def count(found: Column) -> Column:
         return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0).cast("bigint")).otherwise(_covered(found))
@@ -112,7 +117,7 @@ def measures(text: Column) -> Column:
                 F.length(joined).cast("bigint").alias("word_chars"),
                 F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
                 _repeated(words).alias("n_repeat_words"),
-                F.regexp_count(whole, F.lit(rf"(?iu)(?<![^\x20\x09-\x0D])(?:{'|'.join(sorted(set(STOP_WORDS)))})(?![^\x20\x09-\x0D])")).cast("bigint").alias("n_stop_words"),
+F.size(F.filter(words, lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))).cast("bigint").alias("n_stop_words"),
                 F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).cast("bigint").alias("n_letter_words"),
                 F.regexp_count(whole, F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
                 *by_line(rows),
