@@ -74,6 +74,18 @@ def words(block: np.ndarray) -> np.ndarray:
     return _mixed(_hashes(values, starts, ends), 1) if len(starts) else np.empty(0, np.int32)
 
 
+def beginnings(block: np.ndarray) -> np.ndarray:
+    """Indicators of the first four, five and six bytes of lower-case words of letters that are longer."""
+    values = LOWER[block]
+    starts, ends = _spans(values > 0)
+    found = [np.empty(0, np.int32)]
+    for n in (4, 5, 6):
+        own = starts[ends - starts > n]
+        if len(own):
+            found.append(_mixed(_hashes(values, own, own + n), 10 + n))
+    return np.concatenate(found)
+
+
 def characters(block: np.ndarray) -> np.ndarray:
     """Indicators of one, two and three bytes in a row."""
     b = block.astype(np.uint64)
@@ -100,7 +112,7 @@ def shapes(block: np.ndarray) -> np.ndarray:
     return _mixed(np.concatenate((s + np.uint64(1 << 32), two, three)), 3)
 
 
-FAMILIES = {"words": words, "characters": characters, "shapes": shapes}
+FAMILIES = {"words": words, "beginnings": beginnings, "characters": characters, "shapes": shapes}
 
 
 def _blocks(data: bytes) -> Iterator[np.ndarray]:

@@ -55,3 +55,21 @@ def scored(docs: DataFrame, families: tuple[str, ...], weights: np.ndarray, shif
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + BATCH], pa.int64()), pa.array(folds[i : i + BATCH], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32())], schema=SCORES)
 
     return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, families: tuple[str, ...], weights: np.ndarray, shift: float, squash: Callable[[float], float], least: float, normal: bool = False) -> DataFrame:
+    """The rows of docs that score least or more, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            good = []
+            for t in batch.column(at):
+                found = indicators(t.as_py(), families)
+                total = float(table[found].sum())
+                good.append(squash(shift + (total / max(1.0, len(found)) ** 0.5 if normal else total)) >= least)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

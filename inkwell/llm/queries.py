@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import op2_media, op3_bpe, op5_quality_rules, op6_sharding
+from inkwell.llm import op2_media, op3_bpe, op4_jaccard, op5_quality_rules, op6_sharding, op8_quality, op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media.query,
     "op3_bpe": op3_bpe.query,
+    "op4_jaccard": op4_jaccard.query,
     "op5_quality_rules": op5_quality_rules.query,
     "op6_sharding": op6_sharding.query,
+    "op8_quality": op8_quality.query,
+    "op9_toxicity": op9_toxicity.query,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": op5_quality_rules.ORACLE,
