@@ -42,3 +42,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+#: Rows up to which a table of known size is broadcast.
+SMALL = 200_000
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """small, marked for broadcast where a count of it allows that; beyond, its joins shuffle."""
+    return F.broadcast(small) if small.limit(SMALL + 1).count() <= SMALL else small
