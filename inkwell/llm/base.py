@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,6 +35,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote and nothing reads any more, and lets Spark delete the shuffle files of finished steps."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("inkwell-"):
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, however often body refers to it."""
     return F.transform(F.array(value), body)[0]

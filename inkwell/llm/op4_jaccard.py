@@ -6,18 +6,19 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes; two are
    n / 10 common hashes are in both prefixes. So a class of whose prefix fewer hashes occur in other classes has no link and is
    settled. That is found without a join: a hash's smallest and largest class are combined map-side, a hash with one class is
    counted for it, and a passage that a third of the documents share is one row.
-2. The others' whole sets are counted the same way: at least 0.8 n of a set must occur in other classes.
-3. What is left is partitioned into groups of similar documents: by each of KEYS min-hashes a class is compared exactly with the
+2. The others are partitioned into groups of similar documents: by each of KEYS min-hashes a class is compared exactly with the
    smallest class that has the same, and what is linked is one group (connected components, over tables in the shared folder).
-4. The matrix holds each group's token union as (token, group) rows. A query's overlap with a group is bounded by its tokens in
-   that union; tokens of one group only are counted out, and a query with fewer than 0.8 n others is settled. For the rest, the
+3. The matrix holds each group's token union as (token, group) rows. A query's overlap with a group is bounded by its tokens in
+   that union; tokens of one group only are counted out, first of prefixes, then of whole sets, and a query with too few others
+   (fewer than 0.8 n of a whole set) is settled. For the rest, the
    groups that hold one of a query's rarest n - ceil(0.8 n) + 1 tokens are bounded, and those pairs of documents are compared for
    which each one's bound for the other's group qualifies.
 
-Every link between different texts is thus in step 3 or step 4, or between documents that a chain of links joins anyway.
+Every link between different texts is thus in step 2 or step 3, or between documents that a chain of links joins anyway.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; fewer than five words
-are one shingle; repeated rows are copies; a row without a doc_id takes part, but is never the smallest; an empty table gives an
+are one shingle; repeated rows are copies; rows without a doc_id are
+linked with their copies only; an empty table gives an
 empty result; other columns are ignored. Shingles are numpy work on bytes (mapInArrow); all joins and counts are DataFrame work.
 Equality of hashes stands for equality of shingles and, with the count, of sets: 64 bits each.
 """
@@ -37,8 +38,6 @@ from inkwell.llm.features import BLOCK, _hashes, _spans
 
 WORDS, PER_CENT = 5, 80
 KEYS = 8
-#: Ids up to which one side of a join of known size is broadcast; beyond, the join shuffles.
-SMALL = 200_000
 #: Tokens that are handed to Spark at once.
 BATCH_TOKENS = 200_000
 
@@ -86,6 +85,16 @@ def overlap(n: Column) -> Column:
     return F.floor((n * PER_CENT + 99) / 100).cast("bigint")
 
 
+def prefix(n: Column) -> Column:
+    """Smallest hashes of a set of n that are its prefix."""
+    return n - overlap(n) + F.greatest(F.lit(1), F.floor(n / 10))
+
+
+def common_in_prefix(n: Column) -> Column:
+    """Hashes of its prefix that a set of n has in common with the prefix of any other it is linked with, which may be a fifth smaller."""
+    return F.greatest(F.lit(1), F.floor(overlap(n) / 10))
+
+
 def _slack(n: int) -> int:
     return max(1, n // 10)
 
@@ -125,11 +134,6 @@ def _alone(rows: DataFrame, owner: str) -> DataFrame:
     return by_token.where(F.col(owner) == F.col("last")).groupBy(owner).agg(F.count("*").alias("alone"))
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    """small, marked for broadcast where a count of it allows that."""
-    return F.broadcast(small) if small.limit(SMALL + 1).count() <= SMALL else small
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): its smallest reachable node.
 
@@ -156,63 +160,78 @@ def _linked(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
 
 def _star_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) of classes to the smallest class with the same min-hash, compared exactly."""
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.transform("tokens", lambda t, k=k: F.xxhash64(t, F.lit(k)))).alias("key")) for k in range(KEYS)])
-    keyed = base.stored(sets.select("rep", "n", F.explode(keys).alias("x")).select("rep", "n", "x.k", "x.key"), "keys")
-    first = keyed.groupBy("k", "key").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b <> last").drop("last")
-    pairs = keyed.join(first, ["k", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    least = lambda k: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(k))))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), least(k).alias("key")) for k in range(KEYS)])
+    keyed = base.stored(sets.select("cls", F.explode(keys).alias("x")).select("cls", "x.k", "x.key"), "keys")
+    first = keyed.groupBy("k", "key").agg(F.min("cls").alias("b"), F.max("cls").alias("last")).where("b <> last").drop("last")
+    pairs = keyed.join(first, ["k", "key"]).where("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
     return _compared(pairs, sets)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
-    a = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("of_a"))
-    b = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("of_b"))
-    sized = pairs.join(a.drop("of_a"), "a").join(b.drop("of_b"), "b").where((F.col("n_a") * 100 >= F.col("n_b") * PER_CENT) & (F.col("n_b") * 100 >= F.col("n_a") * PER_CENT))
-    both = sized.select("a", "b").join(a, "a").join(b, "b")
-    return both.where(_linked(F.col("of_a"), F.col("of_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    """Those of the pairs (a, b) that are linked. Sets of a meet their pairs where they lie while the pairs are few, and are shuffled once, by b."""
+    few = base.bounded(base.stored(pairs, "pairs"))
+    a = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("of_a")).join(few, "a")
+    wanted = base.bounded(few.select("b").distinct())
+    b = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("of_b")).join(wanted, "b", "left_semi")
+    sized = (F.col("n_a") * 100 >= F.col("n_b") * PER_CENT) & (F.col("n_b") * 100 >= F.col("n_a") * PER_CENT)
+    return a.join(b, "b").where(sized & _linked(F.col("of_a"), F.col("of_b"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
 
 
 def _group_links(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
     """Links between documents of different groups by the token-group matrix; None where no query is left."""
-    own = sets.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
-    matrix = base.stored(own.select("grp", F.explode("tokens").alias("token")).distinct(), "matrix")
-    width = matrix.groupBy("token").agg(F.count("*").alias("groups"))
-    shared = own.select("rep", "n", "grp", F.explode("tokens").alias("token")).join(width.where("groups > 1"), "token")
-    bound = shared.groupBy("rep").agg(F.count("*").alias("shared"))
-    left = base.stored(own.join(bound, "rep").where(F.col("shared") >= overlap(F.col("n"))), "queries")
+    own = sets.join(base.bounded(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp"))), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    # first over the prefixes: a class is left if enough of its prefix stands in the union of other groups' prefixes
+    rows = own.select("cls", "n", "grp", F.explode(F.slice("tokens", F.lit(1), prefix(F.col("n")).cast("int"))).alias("token"))
+    among = rows.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("last")).where("least <> last").select("token")
+    held = rows.join(among, "token").groupBy("cls", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= common_in_prefix(F.col("n")))
+    left = base.stored(own.join(base.bounded(base.stored(held.select("cls"), "queries")), "cls", "left_semi"), "left")
     if not left.limit(1).count():
         return None
-    held = left.select("rep", "n", "grp", "shared", F.explode("tokens").alias("token")).join(width.where("groups > 1"), "token")
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("groups", "token"))
-    # tokens of one group only come first in the order and are not candidates, so only the rest of the prefix is
-    rare = held.withColumn("place", rank).where(F.col("place") <= F.col("n") - overlap(F.col("n")) + 1 - (F.col("n") - F.col("shared")))
-    candidates = rare.join(matrix.withColumnRenamed("grp", "other"), "token").where("grp <> other").select("rep", "n", "grp", "other").distinct()
-    counted = candidates.join(held.select("rep", "token"), "rep").join(matrix.withColumnRenamed("grp", "other"), ["token", "other"])
-    open_ = base.stored(counted.groupBy("rep", "n", "grp", "other").agg(F.count("*").alias("common")).where(F.col("common") >= overlap(F.col("n"))), "open")
+    # then over whole sets: the matrix, and each query's bound by it
+    matrix = base.stored(left.select("grp", F.explode("tokens").alias("token")).distinct(), "matrix")
+    width = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    known = base.stored(left.select("cls", "n", "grp", F.explode("tokens").alias("token")).join(width, "token"), "known")
+    bound = known.groupBy("cls").agg(F.count("*").alias("shared"))
+    asked = known.join(bound, "cls").where(F.col("shared") >= overlap(F.col("n")))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("groups", "token"))
+    # tokens of one group only come first in the order and lead nowhere, so of the prefix only the rest is looked up
+    rare = asked.withColumn("place", rank).where(F.col("place") <= F.col("n") - overlap(F.col("n")) + 1 - (F.col("n") - F.col("shared")))
+    other = matrix.withColumnRenamed("grp", "other")
+    candidates = rare.join(other, "token").where("grp <> other").select("cls", "n", "grp", "other").distinct()
+    counted = candidates.join(known.select("cls", "token"), "cls").join(other, ["token", "other"])
+    open_ = base.stored(counted.groupBy("cls", "n", "grp", "other").agg(F.count("*").alias("common")).where(F.col("common") >= overlap(F.col("n"))), "open")
     q, m = open_.alias("q"), open_.alias("m")
-    pairs = q.join(m, (F.col("q.grp") == F.col("m.other")) & (F.col("q.other") == F.col("m.grp"))).where("q.grp < m.grp").select(F.col("q.rep").alias("a"), F.col("m.rep").alias("b"))
+    pairs = q.join(m, (F.col("q.grp") == F.col("m.other")) & (F.col("q.other") == F.col("m.grp"))).where("q.grp < m.grp").select(F.col("q.cls").alias("a"), F.col("m.cls").alias("b"))
     return _compared(pairs, left)
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
+    spark = docs.sparkSession
     sketches = base.stored(sets_of(docs, whole=False), "sketches")
-    known = sketches.where("n > 0")
-    classes = known.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.first(F.size("tokens")).alias("width"))
-    least = F.greatest(F.lit(1), F.floor(overlap(F.col("n")) / 10)).cast("bigint")
-    settled = classes.join(_alone(known.select("cls", "tokens"), "cls"), "cls", "left").withColumn("shared", F.col("width") - F.coalesce("alone", F.lit(0)))
-    open_ = base.stored(settled.where((F.col("shared") >= least) & F.col("rep").isNotNull()).select("rep"), "open-classes")
-    again = docs.select("doc_id", "text").join(_bounded(open_.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
-    whole = base.stored(sets_of(again, whole=True).where("n > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "tokens"), "sets")
-    covered = whole.join(_alone(whole, "rep"), "rep", "left").where(F.col("n") - F.coalesce("alone", F.lit(0)) >= overlap(F.col("n")))
-    sets = base.stored(covered.select("rep", "n", "tokens"), "covered")
+    rows = base.stored(sketches.select("doc_id", "n", "cls"), "rows")
+    classes = rows.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
+    alone = base.stored(_alone(sketches.where("n > 0").select("cls", "tokens"), "cls"), "alone")
+    base.released(spark, sketches)
+    shared = prefix(F.col("n")) - F.coalesce("alone", F.lit(0))
+    unsettled = classes.join(alone, "cls", "left").where((shared >= common_in_prefix(F.col("n"))) & F.col("rep").isNotNull())
+    open_ = base.bounded(base.stored(unsettled.select(F.col("rep").alias("doc_id"), "cls"), "open-classes"))
+    base.released(spark, alone)
+    again = docs.select("doc_id", "text").join(base.bounded(open_.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = base.stored(sets_of(again, whole=True).join(open_, ["doc_id", "cls"], "left_semi").select("cls", "n", "tokens"), "sets")
     links = base.stored(_star_links(sets), "links")
     groups = components(links)
+    base.released(spark)
     more = _group_links(sets, groups)
     if more is not None and (found := base.stored(more, "links")).limit(1).count():
         groups = components(links.unionByName(found))
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", F.coalesce("component", "rep").alias("component_id"))
-    return sketches.select("doc_id", "n", "cls").join(named, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    base.released(spark, sets)
+    joined = classes.join(groups, classes["cls"] == groups["node"]).select("cls", "n", "rep", "component")
+    smallest = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    merged = joined.join(smallest, "component").select("cls", "n", "least")
+    named = classes.join(merged, ["cls", "n"], "left").select("cls", "n", F.coalesce("least", "rep").alias("least"))
+    return rows.join(named, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,4 +241,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each component the document with the smallest id stays; a row without an id stays too."""
     gone = base.stored(join(docs).where("doc_id <> component_id").select("doc_id"), "gone")
-    return docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(base.bounded(gone), "doc_id", "left_anti").select(*docs.columns)
