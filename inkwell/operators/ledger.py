@@ -229,7 +229,7 @@ def replay(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
         items = ((r.event_id, r.action, None if pd.isna(r.account) else r.account, r.ticket, r.ts.to_pydatetime(), r.outcome) for r in ordered.itertuples(index=False))
         return pd.DataFrame(list(fold(items, limits)), columns=["event_id", "result"])
 
-    return events.groupBy(F.lit(0)).applyInPandas(run, "event_id bigint, result string")
+    return events.withColumn("_everyone", F.lit(0)).groupBy("_everyone").applyInPandas(run, "event_id bigint, result string")
 
 
 def ticket_states(events: DataFrame, action: str = "event_type") -> DataFrame:

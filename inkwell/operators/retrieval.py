@@ -58,13 +58,11 @@ def mean_vector(rows: DataFrame, groups: list[str], vector: str) -> DataFrame:
 
 def bag_embedded(rows: DataFrame, key: str, tokens: Column, dim: int = 64) -> DataFrame:
     """A text's stand-in embedding: each token adds 1 or -1 to a dimension that its md5 names; length 1, null without tokens."""
-
-    def slot(t: Column) -> Column:
-        return F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("bigint")
-
-    at = lambda ts, d: F.aggregate(ts, F.lit(0.0), lambda s, t: s + F.when(F.pmod(slot(t), F.lit(dim)) == d, F.when(F.pmod(F.floor(slot(t) / dim), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-    summed = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: at(tokens, d))
-    return rows.select(key, V.unit(summed).alias("embedding"))
+    drawn = rows.select(key, F.explode(tokens).alias("t")).select(key, F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 6), 16, 10).cast("bigint").alias("h"))
+    sign = F.when(F.pmod(F.floor(F.col("h") / dim), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    sums = drawn.groupBy(key, F.pmod("h", F.lit(dim)).alias("d")).agg(F.sum(sign).alias("x")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "x"))).alias("at"))
+    filled = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), lambda d: F.coalesce(F.col("at")[d], F.lit(0.0)))
+    return rows.select(key).join(sums.select(key, V.unit(filled).alias("embedding")), key, "left")
 
 
 def index_cells(passages: DataFrame, vector: str, planes: int, dim: int, seed: int = 1) -> Column:
