@@ -10,7 +10,7 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes; two are
    smallest class that has the same, and what is linked is one group (connected components, over tables in the shared folder).
 3. The matrix holds each group's token union as (token, group) rows. A query's overlap with a group is bounded by its tokens in
    that union; tokens of one group only are counted out, first of prefixes, then of whole sets, and a query with too few others
-   (fewer than 0.8 n of a whole set) is settled. For the rest, the
+   (fewer than 0.8 n of a whole set) is settled and leaves the matrix. For the rest, the
    groups that hold one of a query's rarest n - ceil(0.8 n) + 1 tokens are bounded, and those pairs of documents are compared for
    which each one's bound for the other's group qualifies.
 
@@ -178,32 +178,43 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return a.join(b, "b").where(sized & _linked(F.col("of_a"), F.col("of_b"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
 
 
+def _covered(own: DataFrame, tokens: Column, least: Column, name: str) -> DataFrame:
+    """Those classes of own of whose `tokens` at least `least` stand in another group's union too."""
+    rows = own.select("cls", "n", "grp", F.explode(tokens).alias("token"))
+    among = rows.groupBy("token").agg(F.min("grp").alias("first"), F.max("grp").alias("last")).where("first <> last").select("token")
+    enough = rows.join(among, "token").groupBy("cls", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("cls")
+    left = base.stored(own.join(base.bounded(base.stored(enough, "enough")), "cls", "left_semi"), name)
+    base.released(own.sparkSession)
+    return left
+
+
 def _group_links(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
     """Links between documents of different groups by the token-group matrix; None where no query is left."""
     own = sets.join(base.bounded(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp"))), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
-    # first over the prefixes: a class is left if enough of its prefix stands in the union of other groups' prefixes
-    rows = own.select("cls", "n", "grp", F.explode(F.slice("tokens", F.lit(1), prefix(F.col("n")).cast("int"))).alias("token"))
-    among = rows.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("last")).where("least <> last").select("token")
-    held = rows.join(among, "token").groupBy("cls", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= common_in_prefix(F.col("n")))
-    left = base.stored(own.join(base.bounded(base.stored(held.select("cls"), "queries")), "cls", "left_semi"), "left")
-    if not left.limit(1).count():
+    n, start = F.col("n"), F.slice("tokens", F.lit(1), prefix(F.col("n")).cast("int"))
+    # a link needs enough tokens in other groups at both its ends, so what fails leaves the matrix too: by prefixes first, then by whole sets
+    left = _covered(own, start, common_in_prefix(n), "left")
+    asked = _covered(left, F.col("tokens"), overlap(n), "asked")
+    base.released(sets.sparkSession, left)
+    if not asked.limit(1).count():
         return None
-    # then over whole sets: the matrix, and each query's bound by it
-    matrix = base.stored(left.select("grp", F.explode("tokens").alias("token")).distinct(), "matrix")
-    width = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    known = base.stored(left.select("cls", "n", "grp", F.explode("tokens").alias("token")).join(width, "token"), "known")
-    bound = known.groupBy("cls").agg(F.count("*").alias("shared"))
-    asked = known.join(bound, "cls").where(F.col("shared") >= overlap(F.col("n")))
+    known = base.stored(asked.select("cls", "n", "grp", F.explode("tokens").alias("token")), "known")
+    width = known.select("grp", "token").distinct().groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    held = base.stored(known.join(width, "token"), "held")
+    bound = held.groupBy("cls").agg(F.count("*").alias("shared")).where(F.col("shared") > 0)
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("groups", "token"))
-    # tokens of one group only come first in the order and lead nowhere, so of the prefix only the rest is looked up
-    rare = asked.withColumn("place", rank).where(F.col("place") <= F.col("n") - overlap(F.col("n")) + 1 - (F.col("n") - F.col("shared")))
-    other = matrix.withColumnRenamed("grp", "other")
-    candidates = rare.join(other, "token").where("grp <> other").select("cls", "n", "grp", "other").distinct()
-    counted = candidates.join(known.select("cls", "token"), "cls").join(other, ["token", "other"])
-    open_ = base.stored(counted.groupBy("cls", "n", "grp", "other").agg(F.count("*").alias("common")).where(F.col("common") >= overlap(F.col("n"))), "open")
+    # tokens of one group only come first in the order and lead nowhere, so of the rarest n - overlap + 1 only the rest is looked up
+    rare = held.join(bound, "cls").where(F.col("shared") >= overlap(n)).withColumn("place", rank).where(F.col("place") <= n - overlap(n) + 1 - (n - F.col("shared")))
+    union = held.select(F.col("grp").alias("other"), "token").distinct()
+    candidates = base.stored(rare.join(union, "token").where("grp <> other").select("cls", "n", "grp", "other").distinct(), "candidates")
+    # the bound of each query and group, over prefixes
+    matrix = base.stored(asked.select(F.col("grp").alias("other"), F.explode(start).alias("token")).distinct(), "matrix")
+    counted = candidates.join(asked.select("cls", F.explode(start).alias("token")), "cls").join(matrix, ["token", "other"])
+    open_ = base.stored(counted.groupBy("cls", "n", "grp", "other").agg(F.count("*").alias("common")).where(F.col("common") >= common_in_prefix(n)), "open")
+    base.released(sets.sparkSession, known, held, matrix, candidates)
     q, m = open_.alias("q"), open_.alias("m")
     pairs = q.join(m, (F.col("q.grp") == F.col("m.other")) & (F.col("q.other") == F.col("m.grp"))).where("q.grp < m.grp").select(F.col("q.cls").alias("a"), F.col("m.cls").alias("b"))
-    return _compared(pairs, left)
+    return _compared(pairs, asked)
 
 
 def join(docs: DataFrame) -> DataFrame:
