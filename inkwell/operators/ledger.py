@@ -49,7 +49,9 @@ def refusal(code: Column) -> Column:
 
 
 def admitted(attempts: DataFrame, limits: Limits = Limits(), user: str = "user_id", ts: str = "ts", key: str = "event_id") -> DataFrame:
-    """attempts with `refused`: null, or the code of the first limit that was reached.
+    """attempts with `refused`: null, or the code of the first limit that the attempt's rank is beyond.
+
+    The same attempts are admitted as by the fold. The code can differ: ranks count an account's refused attempts too.
 
     Ranks within (account, day) come first and keep at most user_daily rows of each, so that what the day's and the month's ranks
     sort is bounded by accounts times days, and the rows beyond are marked without being sorted again.
