@@ -105,5 +105,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: all documents in the order of the mix, which is the order of the files and of the rows in them."""
-    ordered = placed(docs)
-    return ordered.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    # the row travels as one column, so that its names cannot clash with those of the schedule
+    ordered = placed(docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row")))
+    return ordered.repartitionByRange("position").sortWithinPartitions("position").select("_row.*")

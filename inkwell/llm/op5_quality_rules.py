@@ -5,7 +5,8 @@ turns the table into one boolean. Measures are whole numbers and bounds are comp
 hangs on the rounding of a quotient.
 
 Defined results: a null text counts as an empty one; a text without words has all measures 0 and fails the base rules; ties and
-repeated rows are judged each by itself; an empty table gives an empty result; other columns of the input pass through `judge`.
+repeated rows are judged each by itself; an empty table gives an empty result; the stage passes all
+columns on.
 Very long texts cost time in proportion to n log n of their words: repeats are found by sorting window hashes, not by comparing.
 """
 
@@ -140,24 +141,24 @@ def compile_rules(rules: tuple[Rule, ...], measured: Column) -> Column:
     return holds
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a struct column `quality_rules`: the measures, base_failed and kept."""
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the shown measures, base_failed and kept."""
 
-    def verdict(m: Column) -> Column:
+    def of(m: Column) -> Column:
         failed = ~compile_rules(BASE, m)
         shown = [m[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         return F.struct(*shown, failed.alias("base_failed"), (~failed & compile_rules(rules, m)).alias("kept"))
 
-    return docs.withColumn("quality_rules", base.let(measures(F.col(text)), verdict))
+    return base.let(measures(text), of)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(base.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_rules.*")
+    return base.read(spark, sf_dir, "documents").select("doc_id", verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents that are kept, with their columns."""
-    return judge(docs).where("quality_rules.kept").select(*docs.columns)
+    return docs.where(verdict(F.col("text"))["kept"])
 
 
 def sql(table: str) -> str:
