@@ -78,3 +78,26 @@ def test_event_lines():
     reader = EventLines()
     assert reader.push('{"type":"start"}\nnoise\n{"ty') == [{"type": "start"}]
     assert reader.push('pe":"done","dropped":1}\n\n{"type":"x"}\n') == [{"type": "done", "dropped": 1}]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "flips"),
+    [
+        ("We don't sell software, we sell trust.", "We sell trust.", False),
+        ("Not a cent was paid. The firm closed.", "The firm closed.", True),
+        ("People don't buy products. They buy stories.", "People buy stories.", False),
+        ("It's a marathon, not a sprint.", "It's a marathon.", False),
+        ("It was not a bug. It was a choice.", "It was a choice.", False),
+        ("It's not the price that matters, it's the timing.", "The timing matters.", False),
+        ("It's not him who paid, it's Smith.", "He paid.", True),
+        ("This isn't about speed. It's about trust.", "This is about trust.", False),
+        ("Il n'a pas payé.", "Il a payé.", True),
+        ("did not pass", "failed", False),
+        ("did not fail", "failed", True),
+        ("not available", "unavailable", False),
+    ],
+)
+def test_denials(a, b, flips):
+    from inkwell.functions.edits.negation import flips_negation
+
+    assert flips_negation(a, b) is flips
