@@ -11,8 +11,8 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes; two are
 3. The matrix holds each group's token union as (token, group) rows. A query's overlap with a group is bounded by its tokens in
    that union; tokens of one group only are counted out, first of prefixes, then of whole sets, and a query with too few others
    (fewer than 0.8 n of a whole set) is settled and leaves the matrix. For the rest, the
-   groups that hold one of a query's rarest n - ceil(0.8 n) + 1 tokens are bounded, and those pairs of documents are compared for
-   which each one's bound for the other's group qualifies.
+   groups are bounded in whose members' own prefixes (the rarest n - 8 n / 9 + 1 tokens of a set that is not the larger one) one of
+   a query's rarest n - 0.8 n + 1 tokens stands, and those pairs of documents are compared for which the groups qualify both ways.
 
 Every link between different texts is thus in step 2 or step 3, or between documents that a chain of links joins anyway.
 
@@ -85,6 +85,11 @@ def overlap(n: Column) -> Column:
     return F.floor((n * PER_CENT + 99) / 100).cast("bigint")
 
 
+def overlap_of_smaller(n: Column) -> Column:
+    """Common shingles that a set of n needs with one that is not smaller: 2 * 0.8 / 1.8 of its own."""
+    return F.floor((n * 2 * PER_CENT + 99 + PER_CENT) / (100 + PER_CENT)).cast("bigint")
+
+
 def prefix(n: Column) -> Column:
     """Smallest hashes of a set of n that are its prefix."""
     return n - overlap(n) + F.greatest(F.lit(1), F.floor(n / 10))
@@ -188,6 +193,14 @@ def _covered(own: DataFrame, tokens: Column, least: Column, name: str) -> DataFr
     return left
 
 
+def _candidates(asking: DataFrame, held: DataFrame, larger: bool) -> DataFrame:
+    """(cls, n, grp, other): other groups that hold one of a class's prefix tokens in the prefix of a member of a fitting size."""
+    union = held.groupBy(F.col("grp").alias("other"), "token").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    n, least, most = F.col("n"), F.col("least_n"), F.col("most_n")
+    fits = (least <= n) & (most * 100 >= n * PER_CENT) if larger else (most >= n) & (least * PER_CENT <= n * 100)
+    return base.stored(asking.join(union, "token").where((F.col("grp") != F.col("other")) & fits).select("cls", "n", "grp", "other").distinct(), "candidates")
+
+
 def _group_links(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
     """Links between documents of different groups by the token-group matrix; None where no query is left."""
     own = sets.join(base.bounded(groups.select(F.col("node").alias("cls"), F.col("component").alias("grp"))), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
@@ -200,20 +213,22 @@ def _group_links(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
         return None
     known = base.stored(asked.select("cls", "n", "grp", F.explode("tokens").alias("token")), "known")
     width = known.select("grp", "token").distinct().groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    held = base.stored(known.join(width, "token"), "held")
-    bound = held.groupBy("cls").agg(F.count("*").alias("shared")).where(F.col("shared") > 0)
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("groups", "token"))
-    # tokens of one group only come first in the order and lead nowhere, so of the rarest n - overlap + 1 only the rest is looked up
-    rare = held.join(bound, "cls").where(F.col("shared") >= overlap(n)).withColumn("place", rank).where(F.col("place") <= n - overlap(n) + 1 - (n - F.col("shared")))
-    union = held.select(F.col("grp").alias("other"), "token").distinct()
-    candidates = base.stored(rare.join(union, "token").where("grp <> other").select("cls", "n", "grp", "other").distinct(), "candidates")
+    held = known.join(width, "token")
+    # one order for all sets: tokens of fewer groups first; those of one group, which lead nowhere, are counted but not kept
+    w = Window.partitionBy("cls")
+    ranked = held.withColumn("shared", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("groups", "token")) + n - F.col("shared"))
+    ranked = base.stored(ranked.where((F.col("shared") >= overlap(n)) & (F.col("place") <= n - overlap(n) + 1)).select("cls", "n", "grp", "token", "shared", "place"), "ranked")
+    # of a linked pair the smaller has 8 / 9 of its tokens in common, the larger 0.8; their first common token is in both these prefixes
+    larger, smaller = ranked, ranked.where((F.col("shared") >= overlap_of_smaller(n)) & (F.col("place") <= n - overlap_of_smaller(n) + 1))
+    forth, back = _candidates(larger, smaller, True), _candidates(smaller, larger, False)
     # the bound of each query and group, over prefixes
     matrix = base.stored(asked.select(F.col("grp").alias("other"), F.explode(start).alias("token")).distinct(), "matrix")
-    counted = candidates.join(asked.select("cls", F.explode(start).alias("token")), "cls").join(matrix, ["token", "other"])
+    counted = forth.join(asked.select("cls", F.explode(start).alias("token")), "cls").join(matrix, ["token", "other"])
     open_ = base.stored(counted.groupBy("cls", "n", "grp", "other").agg(F.count("*").alias("common")).where(F.col("common") >= common_in_prefix(n)), "open")
-    base.released(sets.sparkSession, known, held, matrix, candidates)
-    q, m = open_.alias("q"), open_.alias("m")
-    pairs = q.join(m, (F.col("q.grp") == F.col("m.other")) & (F.col("q.other") == F.col("m.grp"))).where("q.grp < m.grp").select(F.col("q.cls").alias("a"), F.col("m.cls").alias("b"))
+    q, m = open_.alias("q"), back.alias("m")
+    fits = (F.col("q.n") >= F.col("m.n")) & (F.col("q.n") * PER_CENT <= F.col("m.n") * 100)
+    pairs = q.join(m, (F.col("q.grp") == F.col("m.other")) & (F.col("q.other") == F.col("m.grp")) & fits).select(F.col("q.cls").alias("a"), F.col("m.cls").alias("b")).distinct()
+    base.released(sets.sparkSession, known, ranked, matrix)
     return _compared(pairs, asked)
 
 

@@ -5,8 +5,7 @@ turns the table into one boolean. Measures are whole numbers and bounds are comp
 hangs on the rounding of a quotient.
 
 Defined results: a null text counts as an empty one; a text without words has all measures 0 and fails the base rules; ties and
-repeated rows are judged each by itself; an empty table gives an empty result; the stage passes all
-columns on.
+repeated rows are judged each by itself; an empty table gives an empty result; the stage passes all columns on.
 Very long texts cost time in proportion to n log n of their words: repeats are found by sorting window hashes, not by comparing.
 """
 
