@@ -194,11 +194,19 @@ def _covered(own: DataFrame, tokens: Column, least: Column, name: str) -> DataFr
 
 
 def _candidates(asking: DataFrame, held: DataFrame, larger: bool) -> DataFrame:
-    """(cls, n, grp, other): other groups that hold one of a class's prefix tokens in the prefix of a member of a fitting size."""
-    union = held.groupBy(F.col("grp").alias("other"), "token").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    """(cls, n, grp, other): other groups that hold one of a class's prefix tokens in the prefix of a member of a fitting size.
+
+    The first common token of a linked pair leaves both sets enough tokens, from it on, for the overlap that their sizes ask for;
+    of a group the largest such rest and the smallest fitting size are known.
+    """
+    rest = F.col("n") - F.col("place") + 1
+    union = held.groupBy(F.col("grp").alias("other"), "token").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(rest).alias("most_rest"))
     n, least, most = F.col("n"), F.col("least_n"), F.col("most_n")
     fits = (least <= n) & (most * 100 >= n * PER_CENT) if larger else (most >= n) & (least * PER_CENT <= n * 100)
-    return base.stored(asking.join(union, "token").where((F.col("grp") != F.col("other")) & fits).select("cls", "n", "grp", "other").distinct(), "candidates")
+    partner = F.greatest(least, overlap(n) if larger else n)
+    need = F.floor(((n + partner) * PER_CENT + 99 + PER_CENT) / (100 + PER_CENT))
+    reachable = (rest >= need) & (F.col("most_rest") >= need)
+    return base.stored(asking.join(union, "token").where((F.col("grp") != F.col("other")) & fits & reachable).select("cls", "n", "grp", "other").distinct(), "candidates")
 
 
 def _group_links(sets: DataFrame, groups: DataFrame) -> DataFrame | None:
