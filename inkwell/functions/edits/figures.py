@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import regex
@@ -14,6 +17,7 @@ PERCENT_WORD = r"[\s\p{Pd}]?(?:p(?:er|our)[\s\p{Pd}]?cents?|pct)(?!\p{L})"
 DATE = r"(?<![\p{L}\p{N}])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?!\p{N})"
 
 _NUMBER = regex.compile(rf"{DATE}|(?P<sign>{SIGN})?(?P<body>{PART}(?:[/:]{PART})*)(?P<per>\s?[%‰]|{PERCENT_WORD})?", regex.I)
+_DIGIT = re.compile(r"[0-9]")
 _PART = regex.compile(rf"(?P<whole>{WHOLE})(?:[.,](?P<rest>[0-9]+))?")
 
 
@@ -45,9 +49,23 @@ def _one_spelling(part: str) -> str:
     return ".".join(["".join(groups), *tail])
 
 
+def _numbers(text: str) -> Iterator[regex.Match]:
+    """The matches of _NUMBER, looked for only where a digit is: a sign, a currency, a space and a mark may stand before it."""
+    at = 0
+    while digit := _DIGIT.search(text, at):
+        m = _NUMBER.search(text, max(at, digit.start() - 4))
+        yield m
+        at = m.end()
+
+
 def figures_in(text: str) -> list[Figure]:
+    return list(_figures(text))
+
+
+@lru_cache(maxsize=4)  # the checks of an edit ask for the same two texts in turn
+def _figures(text: str) -> tuple[Figure, ...]:
     found = []
-    for m in _NUMBER.finditer(text):
+    for m in _numbers(text):
         if m["body"] is None:  # a date
             value = "-".join(_one_spelling(p) for p in m[0].split("-"))
         else:
@@ -55,7 +73,7 @@ def figures_in(text: str) -> list[Figure]:
             per = (m["per"] or "").strip()
             value = ("-" if m["sign"] else "") + joined + ("" if not per else per if per in "%‰" else "%")
         found.append(Figure(value, m[0], m.start(), m.end()))
-    return found
+    return tuple(found)
 
 
 def same_numbers(a: str, b: str) -> bool:

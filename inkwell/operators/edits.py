@@ -72,16 +72,20 @@ def names_of(text: pd.Series) -> pd.Series:
 COLLECTED = "attempt_id bigint, seq bigint, id string, reason string, original string, replacement string, start int, end int"
 
 
-def collected(edits: DataFrame) -> DataFrame:
-    """What becomes of each (attempt_id, seq, text, original, replacement), as a stream of the attempt would show it."""
+def collected(edits: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """What becomes of each (attempt_id, seq, text, original, replacement), as a stream of the attempt would show it.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("seq")
-        keep = guard.Collector(ordered["text"].iloc[0])
-        out = [(r.attempt_id, r.seq, *keep.add(r.original, r.replacement)) for r in ordered.itertuples(index=False)]
+    Where `texts` (attempt_id, text) is given, each text goes to Python once, not with each of its edits.
+    """
+
+    def outcomes(rows: pd.DataFrame, text: pd.Series) -> pd.DataFrame:
+        keep = guard.Collector(text.iloc[0]) if len(rows) and len(text) else None
+        out = [(r.attempt_id, r.seq, *keep.add(r.original, r.replacement)) for r in rows.sort_values("seq").itertuples(index=False)] if keep else []
         return pd.DataFrame(out, columns=["attempt_id", "seq", "id", "reason", "original", "replacement", "start", "end"])
 
-    return edits.groupBy("attempt_id").applyInPandas(run, COLLECTED)
+    if texts is None:
+        return edits.groupBy("attempt_id").applyInPandas(lambda rows: outcomes(rows, rows.sort_values("seq")["text"]), COLLECTED)
+    return edits.groupBy("attempt_id").cogroup(texts.select("attempt_id", "text").groupBy("attempt_id")).applyInPandas(lambda rows, whole: outcomes(rows, whole["text"]), COLLECTED)
 
 
 def guarded(edits: DataFrame) -> DataFrame:

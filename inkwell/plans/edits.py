@@ -70,26 +70,26 @@ def stand_in_edits(spark: SparkSession, d: str) -> DataFrame:
     return made.select("attempt_id", "seq", F.md5(F.col("original").cast("binary")).alias("original_md5"), "replacement")
 
 
-def _attempts(spark: SparkSession, d: str) -> DataFrame:
-    """Stand-in edits of the shorter documents, as a model would send them; each with its text."""
-    docs = table(spark, d, "documents").where("n_chars <= 2000 and doc_id % 5 = 0")
-    return edits.stand_in(docs).join(docs.select(F.col("doc_id").alias("attempt_id"), "text"), "attempt_id")
+def _attempts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-in edits of all documents, as a model would send them, and the texts of the attempts, each once."""
+    docs = table(spark, d, "documents")
+    return edits.stand_in(docs), docs.select(F.col("doc_id").alias("attempt_id"), "text")
 
 
 def locate_edits(spark: SparkSession, d: str) -> DataFrame:
-    return edits.collected(_attempts(spark, d)).select("attempt_id", "seq", "id", "reason", "start", "end")
+    return edits.collected(*_attempts(spark, d)).select("attempt_id", "seq", "id", "reason", "start", "end")
 
 
 def drop_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return edits.histogram(edits.guarded(_attempts(spark, d)))
+    return edits.histogram(edits.guarded(_attempts(spark, d)[0]))
 
 
 def apply_edits(spark: SparkSession, d: str) -> DataFrame:
     """All located edits accepted: the texts that come out, by their length and digest."""
-    attempts = _attempts(spark, d)
-    kept = edits.collected(attempts).where("id is not null").withColumn("accepted", F.lit(True))
-    texts = attempts.select("attempt_id", "text").distinct()
-    return edits.applied(texts, kept).select("attempt_id", F.md5(F.col("result").cast("binary")).alias("result_md5"), F.length("result").cast("bigint").alias("n"))
+    made, texts = _attempts(spark, d)
+    kept = edits.collected(made, texts).where("id is not null").withColumn("accepted", F.lit(True))
+    asked = texts.join(made.select("attempt_id"), "attempt_id", "left_semi")
+    return edits.applied(asked, kept).select("attempt_id", F.md5(F.col("result").cast("binary")).alias("result_md5"), F.length("result").cast("bigint").alias("n"))
 
 
 _ANSWER = '{"edits":[{"original":"a {x}","replacement":"b \\"q\\"","reason":"r"},{"original":"only"},{"original":"c","replacement":"d","reason":""}]}'
