@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from inkwell.functions.edits import figures, guard
 from inkwell.operators import edits
 from inkwell.plans import edits as edit_plans
+from inkwell.plans import retrieval
 
 _LONG = " ".join(f"It was said again that word{chr(97 + i % 7)} stays where it is and nothing else moves." for i in range(120))
 _TEXTS = [(1, "One short line is here to stay now. Two."), (2, _LONG), (5, "The same words come twice over here. x. The same words come twice over here. y."), (7, _LONG[:1999]), (8, "rose 12% in the year. and. no."), (9, "")]
@@ -49,3 +50,8 @@ def test_edits_of_all_documents(spark, texts_dir):
 @given(st.text(alphabet="0123456789.,-/:% ab€$−–)'’\u00a0pct²", max_size=60))
 def test_numbers_are_found_from_their_digits(text):
     assert [m.span() for m in figures._numbers(text)] == [m.span() for m in figures._NUMBER.finditer(text)]
+
+
+def test_texts_of_any_length_have_an_embedding(spark, texts_dir):
+    found = {r["doc_id"]: r["norm"] for r in retrieval.text_embedding(spark, texts_dir).collect()}
+    assert found == {i: 1.0 if t else None for i, t in _TEXTS}
