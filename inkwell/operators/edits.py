@@ -7,7 +7,7 @@ one group of a grouped map; attempts are many and bounded (a model's answer), an
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,10 +121,10 @@ def reopenable(rows: DataFrame, text: str = "text", edits: str = "edits") -> Col
 def next_pending(edits: DataFrame, key: str = "attempt_id") -> DataFrame:
     """For each edit the next one in reading order that still waits, round the end to the beginning; itself where none does."""
     own = edits.select(key, "id", "start", "state")
-    waiting = own.where("state = 'pending'").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "id"))).alias("_open"))
-    later = F.filter("_open", lambda o: o["start"] > F.col("start"))
-    target = F.coalesce(F.get(later, F.lit(0))["id"], F.get("_open", F.lit(0))["id"], F.col("id"))
-    return own.join(waiting, key, "left").select(key, "id", target.alias("next_id"))
+    waiting = F.when(F.col("state") == "pending", F.struct("start", "id"))
+    later = Window.partitionBy(key).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    found = own.withColumn("_later", F.min(waiting).over(later)).withColumn("_first", F.min(waiting).over(Window.partitionBy(key)))
+    return found.select(key, "id", F.coalesce("_later.id", "_first.id", "id").alias("next_id"))
 
 
 def decided(edits: DataFrame, state: str, key: str = "attempt_id") -> DataFrame:

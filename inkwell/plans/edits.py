@@ -123,7 +123,7 @@ def stream_user_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_next(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where("conv_id < 50").select(F.col("conv_id").alias("attempt_id"), F.concat(F.lit("edit-"), "turn").alias("id"), F.col("turn").cast("int").alias("start"), F.when(F.length("text") % 2 == 0, "pending").otherwise("accepted").alias("state"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("attempt_id"), F.concat(F.lit("edit-"), "turn").alias("id"), F.col("turn").cast("int").alias("start"), F.when(F.length("text") % 2 == 0, "pending").otherwise("accepted").alias("state"))
     return edits.next_pending(rows)
 
 

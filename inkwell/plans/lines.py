@@ -19,7 +19,7 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").where("turn < 2")
+    turns = table(spark, d, "conversations")
     return turns.select("conv_id", "turn", writers.event_line(F.when(F.col("turn") == 0, "start").otherwise("edit"), F.col("role")).alias("line"))
 
 

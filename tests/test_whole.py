@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from inkwell.functions.edits import figures, guard
 from inkwell.operators import edits
 from inkwell.plans import edits as edit_plans
-from inkwell.plans import retrieval
+from inkwell.plans import lines, retrieval
 
 _LONG = " ".join(f"It was said again that word{chr(97 + i % 7)} stays where it is and nothing else moves." for i in range(120))
 _TEXTS = [(1, "One short line is here to stay now. Two."), (2, _LONG), (5, "The same words come twice over here. x. The same words come twice over here. y."), (7, _LONG[:1999]), (8, "rose 12% in the year. and. no."), (9, "")]
@@ -55,3 +55,15 @@ def test_numbers_are_found_from_their_digits(text):
 def test_texts_of_any_length_have_an_embedding(spark, texts_dir):
     found = {r["doc_id"]: r["norm"] for r in retrieval.text_embedding(spark, texts_dir).collect()}
     assert found == {i: 1.0 if t else None for i, t in _TEXTS}
+
+
+def test_turns_of_all_conversations(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 else "model", "x" * (t * c % 3)) for c in (0, 49, 50, 700) for t in range(6)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    following = set()
+    for c, t, _, _ in rows:
+        waiting = [u for k, u, _, x in rows if k == c and len(x) % 2 == 0]
+        following.add((c, f"edit-{t}", f"edit-{min([u for u in waiting if u > t] or waiting or [t])}"))
+    assert {tuple(r) for r in edit_plans.review_next(spark, str(tmp_path)).collect()} == following
+    line = '{"type":"%s","payload":"%s"}'
+    assert {tuple(r) for r in lines.event_lines(spark, str(tmp_path)).collect()} == {(c, t, line % ("edit" if t else "start", role)) for c, t, role, _ in rows}
