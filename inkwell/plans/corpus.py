@@ -101,7 +101,7 @@ def signatures(spark: SparkSession, d: str) -> DataFrame:
 
 def folded_words(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("w"))
-    return words.groupBy(T.fold(F.substring("w", 1, 2)).alias("beginning")).agg(F.count("*").alias("n"))
+    return words.groupBy(T.fold(F.col("w")).alias("beginning")).agg(F.count("*").alias("n"))
 
 
 def corpus_profile(spark: SparkSession, d: str) -> DataFrame:

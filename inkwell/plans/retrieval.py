@@ -36,7 +36,7 @@ def topk_one_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topk_each_query(spark: SparkSession, d: str) -> DataFrame:
-    queries = _passages(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = _passages(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     found = retrieval.top_k_each(_passages(spark, d), queries, 3)
     return found.select("query_id", "id", F.col("rank").cast("bigint"), F.round("similarity", 6).alias("similarity"))
 
@@ -54,7 +54,7 @@ def quantize_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_literals(spark: SparkSession, d: str) -> DataFrame:
-    shown = _passages(spark, d).select("id", V.literal(F.slice("embedding", 1, 4)).alias("literal"))
+    shown = _passages(spark, d).select("id", V.literal(F.col("embedding")).alias("literal"))
     return shown.select("id", "literal", F.size(V.from_literal(F.col("literal"))).cast("bigint").alias("n"))
 
 

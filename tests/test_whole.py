@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from inkwell.functions.edits import figures, guard
 from inkwell.operators import edits
 from inkwell.plans import edits as edit_plans
-from inkwell.plans import lines, retrieval
+from inkwell.plans import corpus, lines, retrieval
 
 _LONG = " ".join(f"It was said again that word{chr(97 + i % 7)} stays where it is and nothing else moves." for i in range(120))
 _TEXTS = [(1, "One short line is here to stay now. Two."), (2, _LONG), (5, "The same words come twice over here. x. The same words come twice over here. y."), (7, _LONG[:1999]), (8, "rose 12% in the year. and. no."), (9, "")]
@@ -67,3 +67,12 @@ def test_turns_of_all_conversations(spark, tmp_path):
     assert {tuple(r) for r in edit_plans.review_next(spark, str(tmp_path)).collect()} == following
     line = '{"type":"%s","payload":"%s"}'
     assert {tuple(r) for r in lines.event_lines(spark, str(tmp_path)).collect()} == {(c, t, line % ("edit" if t else "start", role)) for c, t, role, _ in rows}
+
+
+def test_whole_vectors_words_and_query_sets(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i + 1), *[k / 8 for k in range(63)]], 0) for i in range(61)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "Déjà déjà vu, naïveté")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    assert {r["query_id"] for r in retrieval.topk_each_query(spark, d).collect()} == {0, 20, 40, 60}
+    assert {(r["id"], r["literal"], r["n"]) for r in retrieval.vector_literals(spark, d).collect()} == {(i, "[" + ",".join(f"{x:.6f}" for x in [i + 1, *[k / 8 for k in range(63)]]) + "]", 64) for i in range(61)}
+    assert {tuple(r) for r in corpus.folded_words(spark, d).collect()} == {("deja", 2), ("vu", 1), ("naivete", 1)}
