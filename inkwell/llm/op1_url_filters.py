@@ -2,7 +2,7 @@
 
 A list is a table of dated entries: on a day, a pattern is set to "deny" or "allow", or is taken off the list ("remove"). The entries of
 one pattern, in the order of their dates, become validity intervals [from, until) that do not overlap. A capture has a few possible
-patterns: its host's domains and its host with the first parts of the path. They are joined with the intervals as of the capture's
+patterns: its host's domains, down to the last label, and its host with the first parts of the path, as many as the deepest entry has. They are joined with the intervals as of the capture's
 own fetch time, and the most specific active entry decides.
 
 Defined results: a row for each capture; verdict "unlisted" where no entry is active at the fetch time, where the URL is null or has
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import base
 
-#: Parts of a path that a pattern may name.
+#: Parts of a path that the patterns of test_entries may name, for the SQL; `evaluate` takes entries of any depth.
 PATH_PARTS = 2
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -34,15 +34,20 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("pattern", "action", F.col("day").alias("from"), until.alias("until")).where("action <> 'remove'")
 
 
-def patterns(url: Column) -> Column:
+def depth(listed: DataFrame) -> int:
+    """The most path parts that a pattern of the list names."""
+    return listed.agg(F.max(F.size(F.split("pattern", "/")) - 2).alias("n")).first()["n"] or 0
+
+
+def patterns(url: Column, parts_at_most: int) -> Column:
     """Possible patterns of a URL, each with its rank: longer hosts and paths are more specific."""
     name = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
     def of(host: Column) -> Column:
         labels = F.split(host, r"\.")
         n = F.size(labels)
-        domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(labels, i, n), ".").alias("pattern"), (n - i).alias("rank")))
-        parts = F.slice(F.array_remove(F.split(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)), "/"), ""), 1, PATH_PARTS)
+        domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.array_join(F.slice(labels, i, n), ".").alias("pattern"), (n - i).alias("rank")))
+        parts = F.slice(F.array_remove(F.split(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)), "/"), ""), 1, max(parts_at_most, 0))
         at = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)))
         paths = F.transform(F.filter(at, lambda k: k <= F.size(parts)), lambda k: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")).alias("pattern"), (F.lit(1000) + k).alias("rank")))
         return F.when(host == "", F.array().cast("array<struct<pattern:string,rank:int>>")).otherwise(F.concat(domains, paths))
@@ -55,7 +60,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
     columns = [key, url, fetched]
     same = captures.select(*columns).groupBy(*columns).count()
     listed = base.bounded(base.stored(intervals(entries), "intervals"))
-    asked = same.select("*", F.explode_outer(patterns(F.col(url))).alias("p")).select(*columns, "count", "p.pattern", "p.rank")
+    asked = same.select("*", F.explode_outer(patterns(F.col(url), depth(listed))).alias("p")).select(*columns, "count", "p.pattern", "p.rank")
     active = (F.col(f"a.{fetched}") >= F.col("l.from")) & (F.col("l.until").isNull() | (F.col(f"a.{fetched}") < F.col("l.until")))
     joined = asked.alias("a").join(listed.alias("l"), (F.col("a.pattern") == F.col("l.pattern")) & active, "left")
     found = F.when(F.col("l.pattern").isNotNull(), F.struct(F.col("l.action").alias("verdict"), F.col("l.pattern").alias("pattern"), F.col("l.from").alias("since")))

@@ -11,6 +11,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from inkwell.functions.edits import figures, guard
+from inkwell.llm import op1_url_filters
 from inkwell.operators import edits
 from inkwell.plans import edits as edit_plans
 from inkwell.plans import corpus, lines, retrieval
@@ -76,3 +77,11 @@ def test_whole_vectors_words_and_query_sets(spark, tmp_path):
     assert {r["query_id"] for r in retrieval.topk_each_query(spark, d).collect()} == {0, 20, 40, 60}
     assert {(r["id"], r["literal"], r["n"]) for r in retrieval.vector_literals(spark, d).collect()} == {(i, "[" + ",".join(f"{x:.6f}" for x in [i + 1, *[k / 8 for k in range(63)]]) + "]", 64) for i in range(61)}
     assert {tuple(r) for r in corpus.folded_words(spark, d).collect()} == {("deja", 2), ("vu", 1), ("naivete", 1)}
+
+
+def test_entries_of_any_depth_and_of_a_last_label(spark):
+    urls = {1: "https://a.org/x/y/z/w?q", 2: "https://a.org/x/y/z", 3: "https://a.org/x/y", 4: "https://b.test/", 5: "https://c.d.org/x/y/z/w", 6: "https://b.net"}
+    rows = spark.createDataFrame(list(urls.items()), "page_id bigint, url string").selectExpr("*", "DATE'2024-05-01' AS fetched")
+    listed = spark.createDataFrame([("a.org/x/y/z/w/", "deny"), ("a.org/x/y/z/", "allow"), ("a.org", "deny"), ("test", "deny"), ("org", "allow")], "pattern string, action string").selectExpr("*", "DATE'2024-01-01' AS day")
+    found = {r["page_id"]: (r["verdict"], r["pattern"]) for r in op1_url_filters.evaluate(rows, listed).collect()}
+    assert found == {1: ("deny", "a.org/x/y/z/w/"), 2: ("allow", "a.org/x/y/z/"), 3: ("deny", "a.org"), 4: ("deny", "test"), 5: ("allow", "org"), 6: ("unlisted", None)}
