@@ -5,8 +5,8 @@ walking its nested boxes and decoding its sample tables (stsd, stts, stsc, stsz,
 sample count and the byte ranges of key frames. Payloads are read back by those tables and are never decoded.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts give equal containers and columns; bytes that are
-no container, or whose tables are cut short or point outside the file, give a null description and an `error`; repeated rows are
-described each by itself; an empty table gives an empty result. Texts are handled one at a time, in output batches of bounded
+no container, whose tables are cut short or point outside the file, or whose samples are in fragments (moof), give a null
+description and an `error`; tracks are described each by its own tables; repeated rows are described each by itself; an empty table gives an empty result. Texts are handled one at a time, in output batches of bounded
 bytes, so memory follows the longest text, not the batch. The style is mapInArrow: hashing and box walking are byte work that
 Catalyst has no expressions for.
 """
@@ -36,7 +36,7 @@ CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts
 
 
 class Media(NamedTuple):
-    """What a container says of its first track; `ranges` are [start, end) bytes of key frames, adjoining ones joined."""
+    """What a container says of one track; `ranges` are [start, end) bytes of key frames, adjoining ones joined."""
 
     codec: str
     timescale: int
@@ -126,10 +126,27 @@ def _numbers(data: memoryview, span: tuple[int, int], width: int, code: str, ski
     return [flat[i : i + width] for i in range(0, len(flat), width)]
 
 
-def describe(data: bytes) -> Media:
-    """Describes the first track of a container; ValueError or struct.error where it is malformed."""
+def tracks(data: bytes) -> list[Media]:
+    """Describes every track of a container, in the order of the file; ValueError or struct.error where it is malformed or in fragments."""
     view, found = memoryview(data), {}
     _walk(view, 0, len(view), (), found)
+    if (b"moof",) in found:
+        raise ValueError("a fragmented file: its samples are not in the movie's tables")
+    spans = found.get((b"moov", b"trak"), [])
+    if not spans:
+        raise ValueError("no track with sample tables")
+    return [_track(view, *span) for span in spans]
+
+
+def describe(data: bytes) -> Media:
+    """The first track of a container."""
+    return tracks(data)[0]
+
+
+def _track(view: memoryview, start: int, end: int) -> Media:
+    """One track, by its own boxes."""
+    found: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+    _walk(view, start, end, (b"moov", b"trak"), found)
     media = (b"moov", b"trak", b"mdia")
     table = (*media, b"minf", b"stbl")
     one = lambda *path: found[path][0] if path in found else None
@@ -220,17 +237,21 @@ def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def media_columns(stored: DataFrame) -> DataFrame:
-    """The columns of DESCRIBED for (id, n_bytes, media), from the stored bytes alone; n_bytes is passed on."""
+    """The columns of DESCRIBED for (id, n_bytes, media), from the stored bytes alone; n_bytes is passed on.
+
+    `feature` has every track, in the order of the file; the payload, codec, duration, time scale and key frames are the first track's.
+    """
 
     def row(k: int, n: int, data: bytes | None) -> tuple:
         try:
             if data is None:
                 raise ValueError("no bytes")
-            media = describe(data)
+            described = tracks(data)
         except (ValueError, struct.error) as error:
             return (k, n, None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, None, None, None, str(error)[:200])
+        media, features = described[0], ";".join(map(feature, described))
         payload = payload_of(data, media)
-        return (k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(media), media.codec, media.duration, media.timescale, media.keyframes, None)
+        return (k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), features, media.codec, media.duration, media.timescale, media.keyframes, None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
