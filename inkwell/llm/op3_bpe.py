@@ -1,21 +1,23 @@
 """Byte-pair encoding and decoding by tree concatenation.
 
-A text is cut where the tokenizer's own pre-tokenization is certain to cut: before a space that follows a character that is not
-white space. Text that offers no such place for LEAF characters ("long unsplit text") is cut into its pre-tokens, and a pre-token
-longer than LEAF bytes is halved until its parts are short. Parts are encoded in parallel, as rows of their own; then, up the tree,
-neighbouring parts are joined: a window of tokens around the join is encoded again, and grows until its first token agrees with
-the left part's and its last with the right part's.
-
-Why that is exact: a sequence of byte-pair tokens is the encoding of its text if and only if every two neighbours are the encoding
-of their concatenation (Berglund and van der Merwe, 2023). Pairs outside the window are pairs of the parts, pairs inside are pairs
-of the window's encoding, and agreement at both ends makes the seams pairs of a part too. A window that has grown over both parts
-is the encoding itself.
+A text, between special tokens, is halved by length, wherever that cuts it, until no part has more than LEAF characters. The parts
+are encoded each by itself; then, up the tree, neighbouring parts are joined: what lies around the join is encoded again, in a
+window that grows until its ends agree with both sides, and the tokens outside the window stay as they are.
+
+Why that is exact. The tokenizer first splits a text into pre-tokens by a pattern that is matched from left to right and looks at
+most three characters ahead, so a part's pre-tokens but for its last two are those of any longer text that begins with the part.
+The window begins at the third last pre-token of the left part and grows, match by match over the whole text, until a match ends
+where one of the right part's own ends too: from there on the matches are the same. A pre-token that lies in one match on both
+sides, as in long unsplit text, is not encoded again: a sequence of byte-pair tokens is the encoding of its bytes if and only if
+every two neighbours are (Berglund and van der Merwe, 2023), so a window of tokens around the join grows until its first token
+agrees with the left side's and its last with the right side's. Pairs outside are pairs of the parts, pairs inside are pairs of the
+window's encoding, and agreement at both ends makes the seams pairs of a part too.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; the special token's string in a text is that
 token; repeated rows get results each for itself; an empty table gives an empty result; other columns of the input are ignored.
-The style is mapInArrow and applyInPandas, since the library's encoder is not a Spark expression. A text of up to LONG characters
-is encoded in the task that reads it; the parts of a longer one are spread over all tasks and meet again as token ids, of which one
-task holds one text's.
+The style is mapInArrow and applyInPandas, since the library's encoder is not a Spark expression. The table is read once. A text of
+up to LONG characters goes up its tree in the task that reads it; the parts of a longer one, of PART characters, are spread over
+all tasks, each as a tree of its own, and meet again as token ids, of which one task holds one text's.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,19 +38,26 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import base
 
-#: Characters of a text above which its parts are encoded as rows of their own, and of a part.
-LONG, LEAF = 32_768, 16_384
-#: Tokens on each side of a join that the first window takes.
-WINDOW = 4
+#: Characters of a part that is encoded at once; of a text above which parts are rows of their own, and of such a part.
+LEAF, LONG, PART = 512, 32_768, 16_384
+#: Tokens on each side of a join inside a pre-token that the first window takes; characters before a part's end where the search for its last pre-tokens begins.
+WINDOW, REACH = 4, 32
 #: Texts whose results are handed to Spark at once.
 BATCH = 512
-ANCHOR = regex.compile(r"(?<=\S)(?= )")
-SPECIAL = "<|endoftext|>"
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 RESULT_DDL = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
+class Part(NamedTuple):
+    """text[start:end] as tokens, and where its last pre-tokens begin: three, or fewer where the first of them is sure to stay one."""
+
+    start: int
+    end: int
+    ids: list[int]
+    last: list[int]
+
+
 class Codec:
     """The encoder and decoder of a tokenizer file of the byte-level BPE kind; every process loads it once."""
 
@@ -68,36 +78,103 @@ class Codec:
         import public_tokenizers
 
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.model = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens=self.special)
+        self.model = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens={})
+        self.whole = tiktoken.Encoding("byte-bpe-pieces", pat_str="(?s:.+)", mergeable_ranks=vocab, special_tokens={})
         self.bytes = {i: b for b, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.texts = [str(i) for i in range(max(self.bytes) + 1)]
+        #: Joins made, and those among them that were inside a pre-token.
+        self.joins = self.inner_joins = 0
 
-    def text(self, text: str) -> list[int]:
-        return self.model.encode(text, allowed_special="all")
-
-    def piece(self, piece: bytes) -> list[int]:
+    def piece(self, piece: str) -> list[int]:
         """One pre-token, or part of one, without pre-tokenization."""
-        return list(self.model._encode_single_piece(piece)) if piece else []
+        return self.whole.encode_ordinary(piece)
 
     def decoded(self, ids: list[int]) -> bytes:
-        return self.model.decode_bytes(ids)
+        return b"".join([self.bytes[i] for i in ids])
+
+    def runs(self, text: str) -> list[str]:
+        """The text between special tokens and these, in order."""
+        return [r for r in regex.split(f"({'|'.join(map(regex.escape, self.special))})", text) if r] if any(s in text for s in self.special) else [text] * bool(text)
+
+    def leaf(self, text: str, start: int, end: int) -> Part:
+        return Part(start, end, self.model.encode_ordinary(text[start:end]), self.last(text, start, end))
+
+    def last(self, text: str, start: int, end: int) -> list[int]:
+        """Where the last pre-tokens begin, looked for from a space after a character that is no white space: a pre-token always begins there."""
+        at = end - REACH
+        while at > start and ((at := text.rfind(" ", start + 1, at)) > start) and text[at - 1].isspace():
+            pass
+        return [m.start() for m in self.pattern.finditer(text, max(at, start), end)][-3:]
+
+    def behind(self, ids: list[int], size: int) -> int:
+        """How many of the last tokens have `size` bytes together."""
+        n = 0
+        while size > 0:
+            n += 1
+            size -= len(self.bytes[ids[-n]])
+        return n
+
+    def ahead(self, ids: list[int], size: int) -> int:
+        """How many of the first tokens have `size` bytes together."""
+        n = 0
+        while size > 0:
+            size -= len(self.bytes[ids[n]])
+            n += 1
+        return n
 
-    def joined(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of two parts of one pre-token from the parts' encodings."""
+    def within(self, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of a pre-token from those of its two parts."""
+        self.inner_joins += 1
+        cut = lambda token: self.bytes[token][0] & 0xC0 == 0x80  # noqa: E731  a token that begins inside a character
         width = WINDOW
-        while left and right:
+        while True:
             i, j = max(0, len(left) - width), min(len(right), width)
-            window = self.piece(b"".join([self.bytes[t] for t in [*left[i:], *right[:j]]]))
+            while i > 0 and cut(left[i]):
+                i -= 1
+            while j < len(right) and cut(right[j]):
+                j += 1
+            window = self.piece(self.decoded([*left[i:], *right[:j]]).decode())
             if (i == 0 or window[0] == left[i]) and (j == len(right) or window[-1] == right[j - 1]):
                 return [*left[:i], *window, *right[j:]]
             width *= 2
-        return left or right
 
-    def tree(self, parts: list[list[int]]) -> list[int]:
-        """Parts of one pre-token joined in pairs, level by level."""
+    def joined(self, text: str, left: Part, right: Part) -> Part:
+        """text[left.start:right.end] from two neighbouring parts."""
+        self.joins += 1
+        middle, size = left.end, lambda a, b: len(text[a:b].encode())
+        own = self.pattern.finditer(text, middle, right.end)
+        begin, agreed, first, pieces = left.last[0], middle, 0, []
+        for found in self.pattern.finditer(text, begin, right.end):
+            s, e = found.span()
+            pieces.append((s, e))
+            while agreed < e and e >= middle:
+                agreed = next(own).end()
+                first = first or agreed
+            if e == agreed:
+                break
+        window: list[int] = []
+        for s, e in pieces:
+            if s < middle < e and s == left.last[-1] and e == first:
+                window += self.within(left.ids[-self.behind(left.ids, size(s, middle)) :], right.ids[: self.ahead(right.ids, size(middle, e))])
+            else:
+                window += self.piece(text[s:e])
+        before, after = len(left.ids) - self.behind(left.ids, size(begin, middle)), self.ahead(right.ids, size(middle, agreed))
+        starts = [*(s for s, _ in pieces), *(s for s in right.last if s >= agreed)]
+        return Part(left.start, right.end, [*left.ids[:before], *window, *right.ids[after:]], starts[-3:])
+
+    def up(self, text: str, parts: list[Part]) -> list[int]:
+        """Neighbouring parts joined in pairs, level by level."""
         while len(parts) > 1:
-            parts = [self.joined(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-        return parts[0] if parts else []
+            parts = [self.joined(text, *parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        return parts[0].ids if parts else []
+
+    def tree(self, run: str, leaf: int = LEAF) -> list[int]:
+        """The encoding of a text without special tokens."""
+        return self.up(run, [self.leaf(run, a, b) for a, b in halves(len(run), leaf)])
+
+    def text(self, text: str, leaf: int = LEAF) -> list[int]:
+        """The whole method on one text, in one process."""
+        return [i for run in self.runs(text) for i in ([self.special[run]] if run in self.special else self.tree(run, leaf))]
 
 
 @lru_cache(maxsize=2)
@@ -105,40 +182,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def halves(piece: bytes, leaf: int = LEAF) -> list[bytes]:
-    """A pre-token halved until no part is longer than leaf; a power of two of parts, so that pairs of the list are the tree."""
-    parts = [piece]
-    while max(map(len, parts)) > leaf:
-        parts = [h for p in parts for h in (p[: len(p) // 2], p[len(p) // 2 :])]
-    return parts
-
-
-def cut(text: str, pattern: regex.Pattern, specials: tuple[str, ...], leaf: int = LEAF) -> Iterator[tuple[int, str, bytes]]:
-    """(tree, kind, part) of a text in order: kind "text" is encoded as it is, "piece" without pre-tokenization.
-
-    Parts with the same tree number belong to one pre-token and are to be joined.
-    """
-    n, start = 0, 0
-    while start < len(text):
-        end = len(text)
-        if end - start > leaf:
-            near = [m.start() for m in ANCHOR.finditer(text, start + leaf // 2, start + leaf) if m.start() > start]
-            after = None if near else ANCHOR.search(text, start + leaf)
-            end = near[-1] if near else after.start() if after else end
-        part, start = text[start:end], end
-        if len(part) <= leaf:
-            yield n, "text", part.encode()
-            n += 1
-            continue
-        for run in regex.split(f"({'|'.join(map(regex.escape, specials))})", part) if specials else [part]:
-            if run in specials:
-                yield n, "text", run.encode()
-                n += 1
-                continue
-            for found in pattern.finditer(run):
-                for h in halves(found[0].encode(), leaf):
-                    yield n, "piece", h
-                n += 1
+def halves(n: int, leaf: int) -> list[tuple[int, int]]:
+    """n characters halved until no part has more than leaf; a power of two of parts, so that pairs of the list are the tree."""
+    parts = 1
+    while n > parts * leaf:
+        parts *= 2
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
 def digest(model: Codec, doc_id: int | None, ids: list[int]) -> tuple:
@@ -146,15 +196,6 @@ def digest(model: Codec, doc_id: int | None, ids: list[int]) -> tuple:
     return doc_id, len(ids), hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(model.decoded(ids)).hexdigest()
 
 
-def encode_tree(text: str, path: str, leaf: int = LEAF) -> list[int]:
-    """The whole method on one text, in one process."""
-    model = codec(path)
-    trees: dict[int, list[list[int]]] = {}
-    for n, kind, part in cut(text, model.pattern, tuple(model.special), leaf):
-        trees.setdefault(n, []).append(model.text(part.decode()) if kind == "text" else model.piece(part))
-    return [i for parts in trees.values() for i in model.tree(parts)]
-
-
 def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
@@ -174,24 +215,30 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield *(k[i] for k in keys), t.as_py()
 
 
-def _short(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = codec(path)
-        return _batched((digest(model, k, model.text(t)) for k, t in _texts(batches)), RESULT, BATCH)
-
-    return run
-
+STEP = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tree", pa.int64()), ("part", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+STEP_DDL = "row bigint, doc_id bigint, n bigint, tree bigint, part string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tree", pa.int64()), ("ids", pa.binary())])
+PARTS_DDL = "row bigint, doc_id bigint, n bigint, tree bigint, ids binary"
 
-PARTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tree", pa.int64()), ("kind", pa.string()), ("part", pa.binary())])
-PARTS_DDL = "row bigint, doc_id bigint, n bigint, tree bigint, kind string, part binary"
 
+def _read(path: str, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The result of a text of up to `long` characters; the parts of a longer one."""
 
-def _cut(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
-        specials = tuple(model.special)
-        rows = ((row, k, n, *part) for row, k, t in _texts(batches) for n, part in enumerate(cut(t, model.pattern, specials)))
-        return _batched(rows, PARTS, 64)
+
+        def rows() -> Iterator[tuple]:
+            for row, k, t in _texts(batches):
+                if len(t) <= long:
+                    yield row, k, None, None, None, *digest(model, k, model.text(t))[1:]
+                    continue
+                n = 0
+                for tree, run in enumerate(model.runs(t)):
+                    for a, b in [(0, len(run))] if run in model.special else halves(len(run), min(PART, long)):
+                        yield row, k, n, tree, run[a:b], None, None, None
+                        n += 1
+
+        return _batched(rows(), STEP, BATCH)
 
     return run
 
@@ -199,13 +246,7 @@ def _cut(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
-
-        def rows() -> Iterator[tuple]:
-            for row, k, n, tree, kind, part in _texts(batches):
-                ids = model.text(part.decode()) if kind == "text" else model.piece(part)
-                yield row, k, n, tree, kind, np.asarray(ids, np.int32).tobytes()
-
-        return _batched(rows(), PARTS, 64)
+        return _batched(((*keys, np.asarray(model.text(part), np.int32).tobytes()) for *keys, part in _texts(batches)), PARTS, 64)
 
     return run
 
@@ -214,7 +255,16 @@ def _assemble(path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(parts: pd.DataFrame) -> pd.DataFrame:
         model, ids = codec(path), []
         for _, own in parts.sort_values("n").groupby("tree", sort=True):
-            ids += model.tree([np.frombuffer(p, np.int32).tolist() for p in own["part"]])
+            found = [np.frombuffer(p, np.int32).tolist() for p in own["ids"]]
+            texts = [model.decoded(f).decode() for f in found]
+            if texts[0] in model.special:
+                ids += found[0]
+                continue
+            text, nodes, at = "".join(texts), [], 0
+            for f, t in zip(found, texts, strict=True):
+                nodes.append(Part(at, at + len(t), f, model.last(text, at, at + len(t))))
+                at += len(t)
+            ids += model.up(text, nodes)
         k = parts["doc_id"].iloc[0]
         return pd.DataFrame([digest(model, None if pd.isna(k) else int(k), ids)], columns=RESULT.names)
 
@@ -222,12 +272,16 @@ def _assemble(path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, with the tokenizer file at path."""
-    whole = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    short = whole.where(F.octet_length("text") <= long).mapInArrow(_short(path), RESULT_DDL)
-    numbered = whole.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(F.octet_length("text") > long)
-    parts = numbered.mapInArrow(_cut(path), PARTS_DDL).repartition("row", "n").mapInArrow(_encode(path), PARTS_DDL)
-    return short.unionByName(parts.groupBy("row").applyInPandas(_assemble(path), RESULT_DDL))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs, with the tokenizer file at path.
+
+    The first step is a table in the shared folder: the results of most texts, and the parts of long ones under a number of the row
+    that holds from there on, whichever executor is lost later.
+    """
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    step = base.stored(whole.mapInArrow(_read(path, long), STEP_DDL), "bpe")
+    done = step.where("part is null").select(*RESULT.names)
+    parts = step.where("part is not null").select("row", "doc_id", "n", "tree", "part").repartition("row", "n").mapInArrow(_encode(path), PARTS_DDL)
+    return done.unionByName(parts.groupBy("row").applyInPandas(_assemble(path), RESULT_DDL))
 
 
 def default_path() -> str:
