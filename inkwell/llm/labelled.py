@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm import base
 from inkwell.llm.features import indicators
 
 #: Texts whose scores are handed to Spark at once.
@@ -21,21 +22,48 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def known_labels(labels: DataFrame, name: str) -> DataFrame:
+    """Distinct (doc_id, grp) of the labels 0 and 1 outside the held-out fold."""
+    return labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(name).isin(0, 1)).select("doc_id", F.col(name).cast("int").alias("grp")).distinct()
+
+
 def first_by_hash(rows: DataFrame, n: int) -> DataFrame:
     """n rows that depend on nothing but the keys: those with the smallest md5 of doc_id."""
     return rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
 
 
-def samples(docs: DataFrame, chosen: DataFrame, families: tuple[str, ...]) -> list[tuple[int, np.ndarray]]:
-    """(group, indicators) of the chosen (doc_id, group) rows' texts in the order of doc_id; chosen is of bounded size."""
+def sampled(docs: DataFrame, chosen: DataFrame, families: tuple[str, ...]) -> DataFrame:
+    """Table (doc_id, grp, found): the indicators of the chosen (doc_id, grp) rows' texts; chosen is of bounded size.
+
+    An id that several rows have is learned from once, by the text that comes first in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([g], pa.int32()), pa.array([indicators(t.as_py(), families).tobytes()], pa.binary())], names=["doc_id", "grp", "found"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grp", "text").mapInArrow(run, "doc_id bigint, grp int, found binary").collect()
-    return [(r["grp"], np.frombuffer(r["found"], np.int32)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["grp"], r["found"]))]
+            for at in range(0, batch.num_rows, BATCH // 8):
+                own = batch.slice(at, BATCH // 8)
+                found = [indicators(t.as_py(), families) for t in own.column(2)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.ListArray.from_arrays(ends, np.concatenate([*found, np.empty(0, np.int32)]))], names=["doc_id", "grp", "found"])
+
+    once = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = once.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("grp").cast("int"), "text")
+    return base.stored(rows.mapInArrow(run, "doc_id bigint, grp int, found array<int>"), "sample")
+
+
+def gathered(sample: DataFrame, most: int) -> list[tuple[int, np.ndarray]]:
+    """(grp, indicators) of a sample in the order of doc_id, on the driver: of each group as many rows, by md5, as have `most` indicators together."""
+    sizes = sample.select("doc_id", "grp", F.size("found").alias("n"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h")).collect()
+    held, taken = {}, set()
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"], r["grp"])):
+        held[r["grp"]] = held.get(r["grp"], 0) + r["n"]
+        if held[r["grp"]] <= most:
+            taken.add((r["doc_id"], r["grp"]))
+    if len(taken) < len(sizes):
+        wanted = sample.sparkSession.createDataFrame(sorted(taken), "doc_id bigint, grp int")
+        sample = sample.join(F.broadcast(wanted), ["doc_id", "grp"], "left_semi")
+    table = sample.select("doc_id", "grp", "found").toArrow().sort_by([("doc_id", "ascending"), ("grp", "ascending")])
+    return [(g, np.asarray(f.values, np.int32)) for g, f in zip(table["grp"].to_pylist(), table["found"], strict=True)]
 
 
 def scored(docs: DataFrame, families: tuple[str, ...], weights: np.ndarray, shift: float, squash: Callable[[float], float], least: float, normal: bool = False) -> DataFrame:

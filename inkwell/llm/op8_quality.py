@@ -5,7 +5,7 @@ with squared hinge loss is fitted to them by dual coordinate descent (Hsieh et a
 the training rows, weighted by how often each class was sampled, makes scores of them.
 
 The training sample is bounded: PER_CLASS labelled rows of each class, those with the smallest hash of their ids outside the
-held-out fold. Counts of the classes are taken over all such labels. Every document is scored over its whole text.
+held-out fold, and of these as many as have MOST indicators together, so that very long texts cannot fill the driver. Counts of the classes are taken over all such labels. Every document is scored over its whole text.
 
 Defined results: a null or empty text gets the score of no indicators; equal texts get equal scores; repeated rows are scored each
 by itself; a label that is null or not 0 or 1 is no label; ids that are null have no label; without labels of both classes every
@@ -21,7 +21,6 @@ from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkwell.llm import base, labelled
 from inkwell.llm.features import SIZE
@@ -29,6 +28,8 @@ from inkwell.llm.features import SIZE
 FAMILIES = ("characters", "shapes")
 #: Labelled rows of each class that the model is fitted to at most.
 PER_CLASS = 3000
+#: Indicators of all sampled rows of a class that the driver takes at most, four bytes each.
+MOST = 8_000_000
 #: Added to counts; the price of errors; passes over the sample; the share of the fitted weights, the rest being their mean size.
 ALPHA, COST, PASSES, BLEND = 1.0, 1.0, 12, 0.25
 LEAST = 0.7
@@ -103,13 +104,16 @@ def squash(x: float) -> float:
     return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, Callable[[float], float]]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = MOST) -> tuple[Model, Callable[[float], float]]:
     """The model of the labels outside the held-out fold."""
-    known = labels.where(~labelled.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("grp"))
+    known = labelled.known_labels(labels, "quality")
     counts = {r["grp"]: r["count"] for r in known.groupBy("grp").count().collect()}
     total = sum(counts.values())
-    chosen = labelled.first_by_hash(known.where("grp = 1"), per_class).unionByName(labelled.first_by_hash(known.where("grp = 0"), per_class))
-    found = labelled.samples(docs, chosen, FAMILIES) if len(counts) == 2 else []
+    found: list[tuple[int, np.ndarray]] = []
+    if len(counts) == 2:
+        sample = labelled.sampled(docs, labelled.first_by_hash(known.where("grp = 1"), per_class).unionByName(labelled.first_by_hash(known.where("grp = 0"), per_class)), FAMILIES)
+        found = labelled.gathered(sample, most)
+        base.deleted(sample)
     y = np.array([1 if g else -1 for g, _ in found])
     if len(set(y)) < 2:
         share = counts.get(1, 0) / total if total else 1.0

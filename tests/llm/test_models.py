@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from inkwell.llm import op3_bpe, op4_jaccard, op5_quality_rules, op8_quality, op9_toxicity
+from inkwell.llm import labelled, op3_bpe, op4_jaccard, op5_quality_rules, op8_quality, op9_toxicity
 from test_small_ops import DDL, ODD, _components, table
 
 SF = "/root/testdata/sf0.01"
@@ -23,11 +23,11 @@ def _auc(scores, labels):
     return (rank[labels == 1].sum() - good * (good + 1) / 2) / (good * (len(labels) - good))
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(op8_quality.query, "quality", 0.97), (op9_toxicity.query, "toxic", 0.7)])
-def test_held_out(spark, query, label, least):
-    rows = query(spark, SF).collect()
-    known = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+@pytest.mark.parametrize(("query", "label", "folder", "least"), [(op8_quality.query, "quality", SF, 0.97), (op9_toxicity.query, "toxic", SF, 0.7), (op9_toxicity.query, "toxic", "/root/testdata/sf0.1", 0.95)])
+def test_held_out(spark, query, label, folder, least):
+    rows = query(spark, folder).collect()
+    known = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert all(0 <= r["score"] <= 1 for r in rows)
     held = [r for r in rows if r["held_out"] and r["doc_id"] in known]
@@ -45,6 +45,49 @@ def test_odd_inputs(spark, model):
     assert model.score(docs.limit(0), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).count() == 0
 
 
+def test_dual_descent_finds_the_primal_optimum():
+    """Brute force: Newton steps on w w / 2 + b b / 2 + sum of cost * max(0, 1 - y (w x + b)) ** 2."""
+    draw = np.random.default_rng(3)
+    x = (draw.random((40, 6)) < 0.5) * draw.normal(size=6)
+    y, cost = np.where(draw.random(40) < 0.5, 1, -1), draw.uniform(0.3, 2, 40)
+    rows = [np.flatnonzero(r).astype(np.int32) for r in x]
+    full = np.hstack([x, np.ones((40, 1))])
+    w = np.zeros(7)
+    for _ in range(100):
+        gap = np.maximum(0, 1 - y * (full @ w))
+        hard = (gap > 0) * cost
+        w -= np.linalg.solve(np.eye(7) + 2 * (full * hard[:, None]).T @ full, w - 2 * full.T @ (cost * gap * y))
+    op8_passes, op8_quality.PASSES = op8_quality.PASSES, 3000
+    try:
+        found, bias = op8_quality.dual_descent(rows, [r[i] for r, i in zip(x, rows, strict=True)], y, cost)
+    finally:
+        op8_quality.PASSES = op8_passes
+    assert np.allclose(found[:6], w[:6], atol=1e-3) and abs(bias - w[6]) < 1e-3
+
+
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_slopes_are_those_of_finite_differences(shift):
+    draw = np.random.default_rng(4)
+    fp, fu, step = draw.normal(size=5) + (8 if shift else 0), draw.normal(size=9) + shift, 1e-6
+    low = op9_toxicity.risk(fp, fu, 0.4)[1] < 0
+    assert low == bool(shift)
+    whole = lambda p, u: -op9_toxicity.risk(p, u, 0.4)[1] if low else sum(op9_toxicity.risk(p, u, 0.4))
+    for part, got in zip((0, 1), op9_toxicity.slopes(fp, fu, 0.4), strict=True):
+        for k in range(len(got)):
+            near = [fp.copy(), fu.copy()]
+            near[part][k] += step
+            assert abs((whole(*near) - whole(fp, fu)) / step - got[k]) < 1e-4
+
+
+def test_what_the_driver_takes_is_bounded(spark):
+    docs = table(spark, ["some words in a text " * 3, "more words", "yet other ones here", "x y z"], [1, 2, 3, 3])
+    chosen = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id bigint, grp int")
+    sample = labelled.sampled(docs, chosen, ("words",))
+    whole = labelled.gathered(sample, 100)
+    assert [g for g, _ in whole] == [1, 1, 0] and [len(f) for _, f in whole] == [5, 2, 3]
+    assert sum(len(f) for _, f in labelled.gathered(sample, 4)) <= 8
+
+
 def test_linear_model_separates():
     rows = [np.array([0, 2], np.int32), np.array([0, 3], np.int32), np.array([1, 2], np.int32), np.array([1, 3], np.int32)] * 5
     model = op8_quality.fit(rows, np.array([1, 1, -1, -1] * 5), {1: 0.5, -1: 0.5})
