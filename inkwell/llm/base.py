@@ -20,9 +20,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, a temporary one."""
+    """The folder that driver and executors share, as spark.checkpoint.dir or the context's checkpoint folder names it.
+
+    Without one a run of a single machine takes a temporary folder; on a cluster that would be another disk on every machine, so
+    there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -35,16 +41,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that `stored` wrote and nothing reads any more, and lets Spark delete the shuffle files of finished steps."""
-    jvm = spark.sparkContext._jvm
+def deleted(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote and nothing reads any more."""
     for df in tables:
+        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
             if folder.getName().startswith("inkwell-"):
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables, and lets Spark delete the shuffle files of finished steps."""
+    deleted(*tables)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -121,11 +121,31 @@ def test_long_texts(spark, library):
     assert {r["doc_id"]: tuple(r)[1:] for r in rows} == {k: _expected(library, t) for k, t in enumerate(texts)}
 
 
-@given(st.text(alphabet="ab \n'slt<|endoftext|>é中1!", max_size=200), st.sampled_from([8, 16, 33]))
+@given(st.text(alphabet="ab \n'slt<|endoftext|>é中1!", max_size=200), st.sampled_from([1, 3, 8, 33]))
 @settings(max_examples=150, deadline=None)
 def test_tree_is_exact(text, leaf):
     library = test_tree_is_exact.__dict__.setdefault("library", __import__("tokenizers").Tokenizer.from_file(op3_bpe.default_path()))
-    assert op3_bpe.encode_tree(text, op3_bpe.default_path(), leaf) == library.encode(text, add_special_tokens=False).ids
+    assert op3_bpe.codec(op3_bpe.default_path()).text(text, leaf) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_go_up_the_tree(spark, library):
+    """The method is what the registered query runs: texts above a leaf are joined, mostly inside pre-tokens, and whole tables agree with the library."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    model = op3_bpe.Codec(op3_bpe.default_path())
+    assert [model.text(t or "") for t in texts] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert model.joins > 5000 and model.inner_joins > 1000
+
+
+def test_bpe_query_is_the_library_s(spark, sf, library):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in op3_bpe.query(spark, sf).collect()} == {k: _expected(library, t) for k, t in texts.items()}
+
+
+def test_a_cut_special_token_and_long_runs_in_parts(spark, library, monkeypatch):
+    monkeypatch.setattr(op3_bpe, "PART", 7)
+    texts = ["ab<|endoftext|>" * 20, " " * 90, "'ll" * 30, "\n\n x" * 20, "中文 é" * 20, "a" * 200, None, ""]
+    rows = op3_bpe.encode_decode(table(spark, texts, [0, 1, 2, 3, 4, 5, None, 7]), op3_bpe.default_path(), long=10).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == {(None if k == 6 else k): _expected(library, t) for k, t in enumerate(texts)}
 
 
 # 4 near duplicates
@@ -185,6 +205,55 @@ def test_links_that_no_min_hash_finds(spark, monkeypatch):
     test_links_near_the_threshold(spark)
 
 
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """Thue-Morse words of 1,024 letters have equal polynomial hashes modulo 2^64 for any base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert [r["component_id"] for r in sorted(op4_jaccard.join(table(spark, [one, other, one])).collect())] == [0, 1, 0]
+
+
+def test_a_hot_group_of_near_copies_is_not_paired(spark, monkeypatch):
+    """600 near copies of one text: comparisons grow with the copies, not with their pairs."""
+    draw = random.Random(9)
+    text = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    copies = []
+    for _ in range(600):
+        now = list(text)
+        for _ in range(draw.randrange(1, 6)):
+            now[draw.randrange(120)] = f"v{draw.randrange(10**6)}"
+        copies.append(" ".join(now))
+    compared, plain = [], op4_jaccard._compared
+    monkeypatch.setattr(op4_jaccard, "_compared", lambda pairs, sets: (compared.append(pairs.count()), plain(pairs, sets))[1])
+    texts = [" ".join(text), *copies]
+    sets, roots = _components(texts)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op4_jaccard.join(table(spark, texts)).collect()} == {k: (len(sets[k]), roots[k]) for k in range(len(texts))}
+    assert sum(compared) < 10 * len(texts)
+
+
+def test_tables_are_deleted(spark):
+    """What a join leaves in the shared folder is what its result reads."""
+    from pathlib import Path
+
+    folder = Path(base.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("inkwell-*"))
+    assert op4_jaccard.join(table(spark, ["a b c d e f g h", "a b c d e f g h i", "x y", None])).count() == 4
+    assert len(set(folder.glob("inkwell-*")) - before) <= 2
+
+
+def test_rows_without_ids_and_with_equal_ids(spark):
+    """Links go through rows without ids; ids that stand for several texts decide nothing."""
+    words = [f"w{k}" for k in range(60)]
+    chain = [" ".join(words[:50]), " ".join(words[3:53]), " ".join(words[6:56])]
+    rows = table(spark, [*chain, "other text of five words", "other text of five words", "lone words of another text", ""], [1, None, 2, None, None, 5, None])
+    found = sorted((r["component_id"] is None, r["component_id"] or 0, r["n_shingles"]) for r in op4_jaccard.join(rows).collect())
+    assert found == [(False, 1, 46), (False, 1, 46), (False, 1, 46), (False, 5, 1), (True, 0, 0), (True, 0, 1), (True, 0, 1)]
+    kept = [(r["doc_id"], r["text"]) for r in op4_jaccard.stage(spark, rows, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, chain[0]), (None, "other text of five words"), (5, "lone words of another text"), (None, "")], key=str)
+    twice = table(spark, ["a b c d e f g", "a b c d e f g", "clean words that no one else has", "a b c d e f g"], [7, 7, 8, 8])
+    kept = sorted((r["doc_id"], r["text"]) for r in op4_jaccard.stage(spark, twice, "").collect())
+    assert kept == [(7, "a b c d e f g"), (8, "clean words that no one else has")]
+
+
 def test_one_of_each_group_stays(spark):
     docs = table(spark, ["a b c d e f", "a b c d e f", "other words in this one", None, None], [3, 2, 5, 6, None])
     kept = op4_jaccard.stage(spark, docs, "")
@@ -265,13 +334,48 @@ def test_less_than_a_block_off(blocks, data):
             assert all(abs(got[n] - t * weights[n] / total) < 1 for n in active)
 
 
-def test_mix_is_whole(spark, odd):
-    rows = op10_mixing.mix(odd, blocks=5).collect()
-    assert sorted(r["position"] for r in rows) == list(range(len(ODD) + 1))
-    given_weights = op10_mixing.mix(odd, {"s1": 3.0, None: 1.0}, blocks=5).collect()
-    assert sorted(r["position"] for r in given_weights) == list(range(len(ODD) + 1))
+def _mixed(rows, block, weights=None):
+    """Brute force: blocks of the sources in the order of their ids' hashes, one after the other by the schedule."""
+    by = defaultdict(list)
+    for k, source in rows:
+        by["null" if source is None else f"={source}"].append(k)
+    for own in by.values():
+        own.sort(key=lambda k: hashlib.md5(str("null" if k is None else k).encode()).hexdigest())
+    blocks = {s: -(-len(own) // block) for s, own in by.items()}
+    target = {s: len(own) ** op10_mixing.TEMPER if weights is None else weights.get(s, 0) for s, own in by.items()}
+    found, position = [], 0
+    for slot, (s, k, phase) in enumerate(op10_mixing.schedule(blocks, op10_mixing.whole(target, max(4 * len(by), min(10_000, 200_000 // max(1, len(by))))))):
+        for doc in by[s][k * block : (k + 1) * block]:
+            found.append((doc, None if s == "null" else s[1:], k, slot, position, phase))
+            position += 1
+    return sorted(found, key=str)
+
+
+def test_mix_is_brute_force(spark, odd, sf):
+    rows = [(r["doc_id"], r["source"]) for r in odd.collect()]
+    for block, given in ((5, None), (2, {"s1": 3.0, None: 1.0})):
+        want = _mixed(rows, block, given and {"=s1": 3.0, "null": 1.0})
+        assert sorted((tuple(r) for r in op10_mixing.mix(odd, given, block).collect()), key=str) == want
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = _mixed([(r["doc_id"], r["source"]) for r in docs.select("doc_id", "source").collect()], op10_mixing.ROWS)
+    assert sorted((tuple(r) for r in op10_mixing.query(spark, sf).collect()), key=str) == want
+
+
+def test_mix_of_a_hot_id_and_many_sources(spark, monkeypatch):
+    hot = spark.range(30_000).selectExpr("if(id < 20000, null, if(id < 25000, 7, id)) doc_id", "'t' text", "if(id % 3 = 0, 'a', concat('s', id % 700)) source")
+    rows = op10_mixing.mix(hot, sources=50).collect()
+    assert sorted(r["position"] for r in rows) == list(range(30_000)) and len({r["source"] for r in rows}) == 701
+    first = [r["source"] for r in sorted(rows, key=lambda r: r["position"])[:3000]]
+    assert 0 < first.count("a") < 3000 and len(set(first)) > 100
+
+
+def test_mixed_rows_are_whole_and_in_order(spark, odd, sf):
     kept = op10_mixing.stage(spark, odd, "")
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert kept.columns == odd.columns and sorted(kept.collect(), key=str) == sorted(odd.collect(), key=str)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    position = {r["doc_id"]: r["position"] for r in op10_mixing.mix(docs).collect()}
+    got = [r["doc_id"] for r in op10_mixing.stage(spark, docs, sf).collect()]
+    assert got == sorted(position, key=position.get)
 
 
 # shared parts
