@@ -8,7 +8,9 @@ own fetch time, and the most specific active entry decides.
 Defined results: a row for each capture; verdict "unlisted" where no entry is active at the fetch time, where the URL is null or has
 no host, or where the fetch time is null. Of entries of one pattern and date the last by action wins ("remove" over "deny" over
 "allow"). Repeated captures give repeated rows; an empty list leaves all unlisted; an empty table gives an empty result; other
-columns of both tables are ignored. Patterns are compared in lower case; ports, users, queries and fragments are not part of them.
+columns of both tables are ignored. Hosts are compared as a browser would ask for them: without blanks around the URL, with or
+without a scheme, with backslashes for slashes, percent escapes read, Unicode names in ASCII, in lower case and without a dot at the
+end. Ports, users, queries and fragments are not part of patterns; entries that are null or blank list nothing.
 
 Captures that are equal in what is read are one row while they are joined. The list is broadcast while it is small; beyond, the
 join shuffles on the pattern, and adaptive execution splits a host that holds a third of the captures.
@@ -23,13 +25,45 @@ from inkwell.llm import base
 
 #: Parts of a path that the patterns of test_entries may name, for the SQL; `evaluate` takes entries of any depth.
 PATH_PARTS = 2
+#: What precedes the host, with any number of slashes after a scheme of the web; the host and port, and the path.
+SCHEME = r"^(?:(?i:https?|ftp|wss?):/*|(?:[A-Za-z][A-Za-z0-9+.-]*:)?//+)"
+#: The same for URLs that are spelled plainly, as those of the test tables are, for the SQL.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
+def _plain_host(host: Column) -> Column:
+    """A host in one spelling: percent escapes read, letters beyond ASCII in their ASCII form, lower case, no dot at its end."""
+    read = F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)
+    ascii_ = F.when(read.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), read), read)).otherwise(read)
+    return F.regexp_replace(F.lower(ascii_), r"\.+$", "")
+
+
+def _head(url: Column) -> Column:
+    """A URL without what browsers drop: blanks around it, line ends and tabs in it, its query and fragment; with slashes for backslashes."""
+    whole = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+    return F.translate(F.regexp_extract(whole, r"^[^?#]*", 0), "\\", "/")
+
+
+def host_of(url: Column) -> Column:
+    """The host that a browser would ask, "" where there is none."""
+    authority = F.regexp_extract(_head(url), SCHEME + "([^/]*)", 1)
+    return _plain_host(F.regexp_extract(F.regexp_extract(authority, "([^@]*)$", 1), r"^(\[[^\]]*\]|[^:]*)", 1))
+
+
+def path_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(_head(url), SCHEME + "[^/]*(.*)", 1))
+
+
+def pattern_of(entry: Column) -> Column:
+    """An entry of a list in the spelling of hosts and paths."""
+    text = F.trim(entry)
+    return F.concat(_plain_host(F.regexp_extract(text, "^[^/]*", 0)), F.lower(F.regexp_extract(text, "/.*$", 0)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, from, until) of (pattern, action, day): until is the day of the pattern's next entry, or null."""
-    one = entries.select(F.lower("pattern").alias("pattern"), "action", "day").where("pattern is not null and day is not null").groupBy("pattern", "day").agg(F.max("action").alias("action"))
+    one = entries.select(pattern_of(F.col("pattern")).alias("pattern"), "action", "day").where("pattern <> '' and day is not null").groupBy("pattern", "day").agg(F.max("action").alias("action"))
     until = F.lead("day").over(Window.partitionBy("pattern").orderBy("day"))
     return one.select("pattern", "action", F.col("day").alias("from"), until.alias("until")).where("action <> 'remove'")
 
@@ -41,18 +75,16 @@ def depth(listed: DataFrame) -> int:
 
 def patterns(url: Column, parts_at_most: int) -> Column:
     """Possible patterns of a URL, each with its rank: longer hosts and paths are more specific."""
-    name = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
-
     def of(host: Column) -> Column:
         labels = F.split(host, r"\.")
         n = F.size(labels)
         domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.array_join(F.slice(labels, i, n), ".").alias("pattern"), (n - i).alias("rank")))
-        parts = F.slice(F.array_remove(F.split(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)), "/"), ""), 1, max(parts_at_most, 0))
+        parts = F.slice(F.array_remove(F.split(path_of(url), "/"), ""), 1, max(parts_at_most, 0))
         at = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)))
         paths = F.transform(F.filter(at, lambda k: k <= F.size(parts)), lambda k: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")).alias("pattern"), (F.lit(1000) + k).alias("rank")))
         return F.when(host == "", F.array().cast("array<struct<pattern:string,rank:int>>")).otherwise(F.concat(domains, paths))
 
-    return base.let(name, of)
+    return base.let(host_of(url), of)
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched") -> DataFrame:
