@@ -17,6 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -154,18 +155,24 @@ def _track(view: memoryview, start: int, end: int) -> Media:
     if head is None or entry is None or sizes is None:
         raise ValueError("no track with sample tables")
     wide = view[head[0]] == 1
+    if head[1] - head[0] < (32 if wide else 20) or entry[1] - entry[0] < 16 or sizes[1] - sizes[0] < 12:
+        raise ValueError("a table is cut short")
     scale, length = struct.unpack_from(">IQ" if wide else ">II", view, head[0] + (20 if wide else 12))
     codec = bytes(view[entry[0] + 12 : entry[0] + 16]).decode("latin-1")
     each, count = struct.unpack_from(">II", view, sizes[0] + 4)
     offsets = [x[0] for x in (_numbers(view, one(*table, b"co64"), 1, "Q") if one(*table, b"co64") else _numbers(view, one(*table, b"stco") or (len(view), 0), 1, "I"))]
     runs = _numbers(view, one(*table, b"stsc") or (len(view), 0), 3, "I")
-    own = None if each else [x[0] for x in _numbers(view, sizes, 1, "I", 8)]
+    ends = None if each else [0, *accumulate(x[0] for x in _numbers(view, sizes, 1, "I", 8))]
+    span = lambda a, b: (b - a) * each if ends is None else ends[b] - ends[a]  # noqa: E731  bytes of samples a to b - 1
+    firsts = [run[0] for run in runs]
+    if firsts[:1] != [1] * bool(offsets) or any(b <= a for a, b in zip(firsts, firsts[1:], strict=False)) or any(f > len(offsets) for f in firsts):
+        raise ValueError("runs of chunks that are out of order, or beyond the chunks")
     per_chunk = [run[1] for k, run in enumerate(runs) for _ in range(run[0], runs[k + 1][0] if k + 1 < len(runs) else len(offsets) + 1)]
     if len(per_chunk) != len(offsets) or sum(per_chunk) != count:
         raise ValueError("the sample tables disagree")
     chunks, starts, at = [], [0], 0
     for offset, n in zip(offsets, per_chunk, strict=True):
-        size = n * each if own is None else sum(own[at : at + n])
+        size = span(at, at + n)
         if offset + size > len(view):
             raise ValueError("a chunk lies outside the file")
         chunks.append((offset, offset + size))
@@ -175,15 +182,18 @@ def _track(view: memoryview, start: int, end: int) -> Media:
     if sync is None:  # every sample is a key frame
         spans, keys = chunks, count
     else:
-        spans, keys, chunk = [], 0, 0
+        spans, keys, chunk, last = [], 0, 0, -1
         for (number,) in _numbers(view, sync, 1, "I"):
             sample = number - 1
+            if keys and sample <= last:
+                raise ValueError("key frames out of order")
+            last = sample
             while chunk + 1 < len(starts) and starts[chunk + 1] <= sample:
                 chunk += 1
             if not 0 <= sample < count:
                 raise ValueError("a key frame that is no sample")
-            first = chunks[chunk][0] + ((sample - starts[chunk]) * each if own is None else sum(own[starts[chunk] : sample]))
-            spans.append((first, first + (each if own is None else own[sample])))
+            first = chunks[chunk][0] + span(starts[chunk], sample)
+            spans.append((first, first + span(sample, sample + 1)))
             keys += 1
     ranges: list[tuple[int, int]] = []
     for span in spans:
