@@ -76,14 +76,19 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     table = templates(spark, texts)
     bands = table.select("license", "wanted", "size", "step", F.explode("bands").alias("b")).select("license", "wanted", "size", "step", "b.*")
-    known = [r["x"] for r in bands.select("x").distinct().collect()]  # at most len(texts) * BANDS numbers
-    found = docs.select("doc_id", shingles(F.col("text")).alias("all")).where(F.arrays_overlap("all", F.array(*[F.lit(x) for x in known])))
-    at = F.filter(F.transform("all", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"].isin(*known))
-    hits = found.select("doc_id", "all", F.explode(at).alias("p")).select("doc_id", "all", "p.x", "p.i").join(F.broadcast(bands), "x")
+    ends = bands.agg(F.collect_set("x").alias("known"), F.max("size").alias("reach")).first()  # at most len(texts) * BANDS numbers
+    known, reach = ends["known"], ends["reach"]
+    hit = lambda x: x.isin(*known)
+    found = docs.select("doc_id", shingles(F.col("text")).alias("all")).where(F.exists("all", hit))
+    # around a hit goes what its windows can hold, and not the text
+    at = F.filter(F.transform("all", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: hit(p["x"]))
+    begin = lambda i: F.greatest(F.lit(0), i - reach + 1)
+    near = F.transform(at, lambda p: F.struct(p["x"].alias("x"), p["i"].alias("i"), begin(p["i"]).alias("begin"), F.slice(F.col("all"), begin(p["i"]) + 1, F.lit(2 * reach)).alias("part")))
+    hits = found.select("doc_id", F.explode(near).alias("p")).select("doc_id", "p.*").join(F.broadcast(bands), "x")
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("size") + 1) / F.col("step")).cast("int") * F.col("step"))
     last = F.floor(F.col("i") / F.col("step")).cast("int") * F.col("step")
-    windows = hits.where(first <= last).select("doc_id", "license", "wanted", "band", "h", "size", "all", F.explode(F.sequence(first, last, F.col("step"))).alias("start"))
-    held = windows.select("doc_id", "license", "wanted", "band", "h", "start", F.slice("all", F.col("start") + 1, F.col("size")).alias("window"))
+    windows = hits.where(first <= last).select("doc_id", "license", "wanted", "band", "h", "size", "begin", "part", F.explode(F.sequence(first, last, F.col("step"))).alias("start"))
+    held = windows.select("doc_id", "license", "wanted", "band", "h", "start", F.slice("part", F.col("start") - F.col("begin") + 1, F.col("size")).alias("window"))
     candidates = held.where(_least(F.col("window"), F.col("band")) == F.col("h"))
     share = F.floor(F.size(F.array_intersect("window", "wanted")) * 100 / F.size(F.array_distinct("wanted"))).cast("bigint")
     exact = candidates.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= LEAST)

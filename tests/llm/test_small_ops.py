@@ -60,6 +60,19 @@ def test_as_of(spark):
     assert {r["verdict"] for r in op1_url_filters.evaluate(rows, listed.limit(0)).collect()} == {"unlisted"}
 
 
+def test_spellings_of_a_host(spark):
+    """A browser would ask evil.com for each of these, so the list holds for each."""
+    urls = ["http://evil.com./x", "//evil.com/x", " http://evil.com/x", "http://evil.com\\@good.org/x", "http:\\\\evil.com", "HTTP://EVIL%2ecom/", "https:evil.com", "http:////evil.com/", "http://good.org@evil.com:81/", "ht\ntp://ev\til.com", "http://\uff45vil.com/"]
+    kept = ["http://evil.com.good.org/", "http://good.org/evil.com", "http://good.org/?u=http://evil.com", "http://notevil.com/", "evil.com/x", "http://", "", None, "http://good.org/" + "x/" * 5000]
+    rows = spark.createDataFrame([(k, u, date(2024, 1, 5)) for k, u in enumerate([*urls, *kept])], "page_id bigint, url string, fetched date")
+    listed = _entries(spark, [(" Evil.com. ", "deny", 3), ("m\u00fcnchen.de", "deny", 3), (None, "deny", 3), ("", "deny", 3)])
+    found = {r["page_id"]: r["verdict"] for r in op1_url_filters.evaluate(rows, listed).collect()}
+    assert found == {k: "deny" if k < len(urls) else "unlisted" for k in range(len(urls) + len(kept))}
+    assert op1_url_filters.evaluate(rows.limit(0), listed).count() == 0
+    names = spark.createDataFrame([(1, "http://xn--mnchen-3ya.de/", date(2024, 1, 5)), (2, "http://M\u00dcNCHEN.de/", date(2024, 1, 5))], "page_id bigint, url string, fetched date")
+    assert {r["verdict"] for r in op1_url_filters.evaluate(names, listed).collect()} == {"deny"}
+
+
 # 2 media
 @given(st.binary(max_size=9000))
 @settings(max_examples=40, deadline=None)
@@ -83,6 +96,44 @@ def test_key_frames_and_own_sizes():
     assert media.ranges == [(8, 38), (68, 108)]
 
 
+def _track(kind, entry, sizes, offsets, stss=None, wide=False, runs=None):
+    box, full, u32 = op2_media._box, op2_media._full, lambda *n: struct.pack(f">{len(n)}I", *n)
+    keys = [full(b"stss", u32(len(stss), *stss))] if stss else []
+    places = full(b"co64", struct.pack(f">I{len(offsets)}Q", len(offsets), *offsets)) if wide else full(b"stco", u32(len(offsets), *offsets))
+    runs = runs or [(1, len(sizes) // len(offsets), 1)]
+    tables = box(b"stbl", full(b"stsd", u32(1), box(entry, bytes(78))), full(b"stts", u32(1, len(sizes), 1)), *keys, full(b"stsc", u32(len(runs)), *(u32(*r) for r in runs)), full(b"stsz", u32(0, len(sizes), *sizes)), places)
+    return box(b"trak", box(b"mdia", full(b"mdhd", u32(0, 0, 90, 0), bytes(4)), full(b"hdlr", bytes(4), kind), box(b"minf", tables)))
+
+
+def test_audio_and_video_each_by_their_own_tables(spark):
+    data = op2_media._box(b"mdat", bytes(range(150)))
+    audio, video = _track(b"soun", b"mp4a", [10] * 5, [8]), _track(b"vide", b"avc1", [20, 30, 50], [58], stss=[1, 3], wide=True)
+    both = op2_media.tracks(data + op2_media._box(b"moov", audio, video))
+    assert [(m.codec, m.samples, m.keyframes, m.ranges) for m in both] == [("mp4a", 5, 5, [(8, 58)]), ("avc1", 3, 2, [(58, 78), (108, 158)])]
+
+
+def test_hostile_tables_are_errors(spark):
+    data, moov = op2_media._box(b"mdat", bytes(200)), lambda *t: op2_media._box(b"moov", *t)
+    files = [
+        data + moov(_track(b"vide", b"avc1", [10], [8], runs=[(1, 1, 1), (0xFFFFFFFF, 1, 1)])),
+        data + moov(_track(b"vide", b"avc1", [10, 10], [8, 18], runs=[(2, 1, 1), (1, 1, 1)])),
+        data + moov(_track(b"vide", b"avc1", [10, 10], [8], stss=[2, 1])),
+        data + moov(_track(b"vide", b"avc1", [0xFFFFFFFF], [8])),
+        data + moov(op2_media._box(b"trak", bytes(3))),
+        b"\0\0\0\x08moof" + data,
+    ]
+    rows = spark.createDataFrame([(k, 0, bytearray(f)) for k, f in enumerate(files)], "id bigint, n_bytes bigint, media binary")
+    assert all(r["error"] and r["feature"] is None for r in op2_media.media_columns(rows).collect())
+
+
+def test_key_frames_of_many_samples_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    media = op2_media.describe(op2_media._box(b"mdat", bytes(200_000)) + op2_media._box(b"moov", _track(b"vide", b"avc1", [1] * 200_000, [8], stss=list(range(1, 200_001, 2)))))
+    assert media.keyframes == 100_000 and time.perf_counter() - began < 5
+
+
 def test_media_columns(spark, odd):
     found = {r["id"]: r for r in op2_media.media_columns(op2_media.to_media(odd)).collect()}
     for k, t in enumerate(ODD):
@@ -316,6 +367,13 @@ def test_licenses(spark, odd):
     assert {k[1] for k in found if k[0] == 5} == {"mit", "cc-by-nc-4.0"} and not any(k[0] == 3 for k in found)
 
 
+def test_a_text_that_repeats_a_license(spark):
+    line = op7_licenses.TEMPLATES["mit"]
+    texts = [" ".join([f"w{k} {line}" for k in range(3000)]), f"{line} {line}"]
+    found = {(r["doc_id"], r["license"]): (r["containment"], r["first_word"]) for r in op7_licenses.scan(table(spark, texts)).collect()}
+    assert set(found) == {(0, "mit"), (1, "mit")} and found[1, "mit"] == (100, 0) and found[0, "mit"][0] == 100
+
+
 # 10 mixing
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=6), st.data())
 @settings(max_examples=80, deadline=None)
