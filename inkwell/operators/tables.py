@@ -7,8 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.sizes import small
+
 # Page length of a history, and rows one call purges.
 PAGE, PURGE, BATCH = 50, 200, 100
+#: Ranges into which a numbering of all rows is cut.
+PARTS = 64
 
 
 def upserted(target: DataFrame, batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -22,9 +26,24 @@ def upserted(target: DataFrame, batch: DataFrame, key: str, order: str | None =
     return kept.unionByName(new.select(*[c for c in new.columns if c in target.columns]), allowMissingColumns=True)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place from 0 in a total order, without a window over all rows.
+
+    Rows are cut into PARTS ranges of the first column of the order, a few quantiles say where; what lies ahead of a range is a
+    sum over a few counts, and only places within a range come from sorting it. Rows equal in the first column share a range.
+    """
+    first = F.col(order[0])
+    edges = F.broadcast(rows.agg(F.percentile_approx(first, [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("_edges")))
+    placed = rows.crossJoin(edges).withColumn("_part", F.size(F.filter("_edges", lambda e: e < first))).drop("_edges")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))  # at most PARTS rows
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_in", within).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_part", "_in", "_start")
+
+
 def batches(rows: DataFrame, order: list[str], size: int = BATCH) -> DataFrame:
     """rows with the number of the batch they are sent in."""
-    return rows.withColumn("batch_no", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("bigint"))
+    return numbered(rows, order, "_place").withColumn("batch_no", F.floor(F.col("_place") / size).cast("bigint")).drop("_place")
 
 
 def purged(rows: DataFrame, key: str, created: str, before: Column, most: int = PURGE) -> DataFrame:
@@ -56,8 +75,9 @@ def owned(rows: DataFrame, account: object, user: str = "user_id") -> DataFrame:
 def newest(rows: DataFrame, user: str, created: str, key: str, page: int = PAGE) -> DataFrame:
     """Each account's newest rows, with its total."""
     own = Window.partitionBy(user)
-    ranked = rows.withColumn("total", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy(F.desc(created), F.desc(key))))
-    return ranked.where(F.col("place") <= page)
+    totals = rows.groupBy(user).agg(F.count("*").alias("total"))
+    ranked = rows.withColumn("place", F.row_number().over(own.orderBy(F.desc(created), F.desc(key)))).where(F.col("place") <= page)  # a task keeps `page` rows of an account
+    return ranked.join(totals, user)
 
 
 def found_in(page: DataFrame, text: str, query: str) -> DataFrame:
@@ -68,7 +88,7 @@ def found_in(page: DataFrame, text: str, query: str) -> DataFrame:
 
 def privileges(roles: DataFrame, objects: DataFrame, granted: DataFrame) -> DataFrame:
     """(role, object, privileges): each role's privileges on each object in one sorted line; roles and objects are catalogue-sized."""
-    pairs = roles.crossJoin(F.broadcast(objects))
+    pairs = roles.crossJoin(small(objects))
     lines = granted.groupBy("role", "object").agg(F.array_join(F.sort_array(F.collect_set("privilege")), ",").alias("privileges"))
     return pairs.join(lines, ["role", "object"], "left").select("role", "object", F.coalesce("privileges", F.lit("")).alias("privileges"))
 
@@ -77,3 +97,41 @@ def differences(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows that only one of two tables has, and which."""
     extra = found.exceptAll(expected).withColumn("side", F.lit("found"))
     return extra.unionByName(expected.exceptAll(found).withColumn("side", F.lit("expected")))
+
+
+def appended(history: DataFrame, results: DataFrame, key: str = "id", hidden: tuple[str, ...] = ("voice_sample",)) -> DataFrame:
+    """A history with finished results added once each, without the columns that are never kept."""
+    new = results.drop(*hidden).join(history.select(key), key, "left_anti")
+    return history.unionByName(new.select(*[c for c in new.columns if c in history.columns]), allowMissingColumns=True)
+
+
+def reclassified(rows: DataFrame, open_states: tuple[str, ...], state: str, closed: str, before: Column, created: str = "created_at", column: str = "state") -> DataFrame:
+    """rows in which every open one from before a time is closed: one pass that rewrites a column."""
+    stale = F.col(column).isin(*open_states) & (F.col(created) < before)
+    return rows.withColumn(closed, F.when(stale, before).otherwise(F.col(closed))).withColumn(column, F.when(stale, F.lit(state)).otherwise(F.col(column)))
+
+
+def latest(rows: DataFrame, day: str, days: int = 31) -> DataFrame:
+    """Rows of the newest `days` days that there are, newest first; days without rows do not count."""
+    newest_days = rows.select(day).distinct().orderBy(F.desc(day)).limit(days)
+    return rows.join(F.broadcast(newest_days), day, "left_semi").orderBy(F.desc(day))
+
+
+def unnested(rows: DataFrame, key: str, column: str, schema: str) -> DataFrame:
+    """(key, place, fields) of results stored as a JSON array in a column; rows whose column is no array have none."""
+    stored = F.from_json(F.col(column), f"array<struct<{schema}>>")
+    return rows.select(key, F.posexplode(stored).alias("place", "_r")).select(key, F.col("place").cast("bigint").alias("place"), "_r.*")
+
+
+def nested(rows: DataFrame, key: str, order: list[str], fields: list[str], column: str = "results") -> DataFrame:
+    """The way back: each key's rows as one JSON array, in order."""
+    ordered = F.sort_array(F.collect_list(F.struct(*order, F.struct(*fields).alias("_r"))))
+    return rows.groupBy(key).agg(F.to_json(F.transform(ordered, lambda x: x["_r"])).alias(column))
+
+
+def the_one(rows: DataFrame) -> dict:
+    """The single row of a table of settings; an error where there are none or several."""
+    found = rows.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("a table of settings has to have one row")
+    return found[0].asDict()

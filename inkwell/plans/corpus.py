@@ -101,7 +101,7 @@ def signatures(spark: SparkSession, d: str) -> DataFrame:
 
 def folded_words(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("w"))
-    return words.groupBy(T.fold(F.col("w")).alias("beginning")).agg(F.count("*").alias("n"))
+    return words.groupBy(T.fold(F.col("w")).alias("word")).agg(F.count("*").alias("n"))
 
 
 def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +245,7 @@ SELECT doc_id, (generate_subscripts(kept, 1) - 1)::bigint AS block_no, length(un
   SELECT doc_id, list_slice(b, greatest(len(b) // 20, 1) + 1, len(b) - greatest(len(b) // 20, 1)) AS kept FROM (
     SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string({_TOKENS.format('x')}, ' ')), lambda x: x <> '') AS b FROM documents))""",
     "signatures": f"SELECT doc_id, {_SIGNATURE.format('text')} AS signature FROM documents",
-    "folded_words": f"SELECT {_FOLD.format('substr(w, 1, 2)')} AS beginning, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1",
+    "folded_words": f"SELECT {_FOLD.format('w')} AS word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1",
     "corpus_profile": "SELECT lang, quality, count(*) AS n, min(n_chars) AS least_chars, max(n_chars) AS most_chars FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, quality)",
     "select_documents": f"""
 SELECT identifier, CASE language WHEN 'English' THEN 'en' ELSE 'fr' END AS lang, CASE WHEN collection LIKE '%Newspapers' THEN 'news' ELSE 'book' END AS kind,

@@ -159,7 +159,8 @@ WHERE original <> replacement""",
   FROM (VALUES (true), (false)) c(complete), (VALUES (true), (false)) r(refused), (VALUES (0), (2)) d(delivered), (VALUES (true), (false)) l(reader_left)""",
     "stream_user_counts": "SELECT ts::date AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "review_next": """
-WITH r AS (SELECT conv_id AS attempt_id, 'edit-' || turn AS id, turn AS start, length(text) % 2 = 0 AS open FROM conversations WHERE conv_id < 50)
-SELECT a.attempt_id, a.id, coalesce((SELECT arg_min(b.id, b.start) FROM r b WHERE b.attempt_id = a.attempt_id AND b.open AND b.start > a.start), (SELECT arg_min(b.id, b.start) FROM r b WHERE b.attempt_id = a.attempt_id AND b.open), a.id) AS next_id FROM r a""",
+SELECT attempt_id, id, coalesce('edit-' || min(CASE WHEN open THEN start END) OVER (PARTITION BY attempt_id ORDER BY start RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+  'edit-' || min(CASE WHEN open THEN start END) OVER (PARTITION BY attempt_id), id) AS next_id
+FROM (SELECT conv_id AS attempt_id, 'edit-' || turn AS id, turn AS start, length(text) % 2 = 0 AS open FROM conversations)""",
     "reopened": "SELECT * FROM (VALUES (0::bigint, true), (1, false), (2, true)) t(id, valid)",
 }

@@ -42,7 +42,7 @@ def curated_books(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (report_lines, event_lines, synthetic_rows, accepted_bodies, curated_books)}
 ORACLES = {
     "report_lines": """SELECT event_id, '{' || CASE WHEN event_type = 'view' THEN '' ELSE '"stop_reason":"' || CASE WHEN event_type = 'click' THEN 'end_turn' ELSE 'other' END || '",' END || '"value":' || round(value)::bigint || '}' AS line FROM events""",
-    "event_lines": """SELECT conv_id, turn, '{"type":"' || CASE WHEN turn = 0 THEN 'start' ELSE 'edit' END || '","payload":"' || role || '"}' AS line FROM conversations WHERE turn < 2""",
+    "event_lines": """SELECT conv_id, turn, '{"type":"' || CASE WHEN turn = 0 THEN 'start' ELSE 'edit' END || '","payload":"' || role || '"}' AS line FROM conversations""",
     "synthetic_rows": "SELECT lang, 500::bigint AS n, 1.0::double AS least_norm, 1.0::double AS most_norm FROM (VALUES ('en'), ('fr')) t(lang)",
     "accepted_bodies": "SELECT doc_id, strlen(text) <= 5000 AS accepted FROM documents",
     "curated_books": "SELECT n_nationkey::bigint AS n_nationkey, n_name FROM nation WHERE n_nationkey IN (3, 6, 7)",

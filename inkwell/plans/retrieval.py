@@ -61,7 +61,8 @@ def vector_literals(spark: SparkSession, d: str) -> DataFrame:
 def text_embedding(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     made = retrieval.bag_embedded(docs, "doc_id", T.words(F.lower("text")), 16)
-    return made.select("doc_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+    weighed = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return made.select("doc_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(weighed, 5).alias("weighed"))
 
 
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -80,9 +81,14 @@ ORACLES = {
     "vector_topk": f"SELECT a.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.label = 3 ORDER BY {_COS} DESC, 1 LIMIT 10",
     "vector_floor": f"SELECT * FROM (SELECT a.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 ORDER BY {_COS} DESC, 1 LIMIT 10) WHERE similarity >= 0.05",
     "topk_one_per_group": f"SELECT id, label, similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, id) AS k FROM (SELECT a.vec_id AS id, a.label, {_COS} AS s, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 ORDER BY s DESC, id LIMIT 10) WHERE s >= 0.2) WHERE k = 1 ORDER BY s DESC, id LIMIT 3",
-    "topk_each_query": f"SELECT query_id, id, rank::bigint AS rank, similarity FROM (SELECT b.vec_id AS query_id, a.vec_id AS id, round({_COS}, 6) AS similarity, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE rank <= 3",
+    "topk_each_query": f"SELECT query_id, id, rank::bigint AS rank, similarity FROM (SELECT b.vec_id AS query_id, a.vec_id AS id, round({_COS}, 6) AS similarity, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0) WHERE rank <= 3",
     "vector_mean_norm": "WITH l AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), m AS (SELECT label, dim, avg(x) AS x FROM l GROUP BY ALL) SELECT label, dim::bigint AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m",
     "quantize_roundtrip": "WITH s AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS scale FROM embeddings) SELECT id, round(scale, 9) AS scale, list_sum(list_transform(e, lambda x: greatest(-127, least(127, round_even(x / scale, 0)))))::bigint AS code_sum, true AS within_half FROM s",
-    "vector_literals": "SELECT vec_id AS id, '[' || array_to_string(list_transform(list_slice(embedding::DOUBLE[], 1, 4), lambda x: printf('%.6f', x)), ',') || ']' AS literal, 4::bigint AS n FROM embeddings",
-    "text_embedding": r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{L}') THEN 1.0::double END AS norm FROM documents WHERE n_chars < 2000",
+    "vector_literals": "SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding::DOUBLE[], lambda x: printf('%.6f', x)), ',') || ']' AS literal, len(embedding)::bigint AS n FROM embeddings",
+    "text_embedding": r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+(?:[''’-]\p{L}+)*')) AS w FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 6))::bigint AS h FROM t),
+s AS (SELECT doc_id, h % 16 AS d, sum(CASE WHEN (h // 16) % 2 = 0 THEN 1 ELSE -1 END)::double AS x FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm, sum(x * (d + 1)) AS weighed FROM s GROUP BY 1)
+SELECT doc_id, CASE WHEN norm > 0 THEN 1.0::double END AS norm, CASE WHEN norm > 0 THEN round(weighed / norm, 5) END AS weighed FROM documents LEFT JOIN n USING (doc_id)""",
 }

@@ -71,10 +71,8 @@ def listagg_roles(spark: SparkSession, d: str) -> DataFrame:
 
 def median_and_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem")
-    middle = items.groupBy("l_returnflag").agg(F.round(stats.median(F.col("l_extendedprice")), 6).alias("median"))
-    upper = stats.nearest_rank(items, ["l_returnflag"], "l_extendedprice", 50).withColumnRenamed("value", "upper_middle")
-    high = stats.nearest_rank(items, ["l_returnflag"], "l_extendedprice", 95).withColumnRenamed("value", "p95")
-    return middle.join(upper, "l_returnflag").join(high, "l_returnflag")
+    middle = stats.medians(items, ["l_returnflag"], "l_extendedprice").select("l_returnflag", F.round("median", 6).alias("median"))
+    return middle.join(stats.nearest_ranks(items, ["l_returnflag"], "l_extendedprice", {"upper_middle": 50, "p95": 95}), "l_returnflag")
 
 
 def area_status_pivot(spark: SparkSession, d: str) -> DataFrame:
