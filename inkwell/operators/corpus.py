@@ -13,6 +13,7 @@ from inkwell.functions import text as T
 # Thresholds of the noise report.
 MIN_COMMON, MAX_UNKNOWN, MAX_FRAGMENTS, MAX_JUNK = 0.35, 0.10, 0.22, 1.5
 VOCABULARY_SIZE, VOCABULARY_COUNT = 40_000, 3
+AUTHOR_CHARS, TITLE_CHARS = 120, 160
 
 
 def passages(docs: DataFrame, text: str = "text", least: int = T.MIN_WORDS, most: int = T.MAX_WORDS, separator: str = r"\n(?U:\s*)\n") -> DataFrame:
@@ -62,6 +63,39 @@ def deduplicated_and_capped(rows: DataFrame, passage: str, groups: list[str], or
     return capped(deduplicated(rows, passage, order), groups, order, cap)
 
 
+def swept(rows: DataFrame, passage: str, group: str, order: list[str], cap: int) -> DataFrame:
+    """Duplicates and caps in one sweep in order: a passage that a full group refuses is not seen, so a copy in another group may stay.
+
+    A group is full from the place of its cap-th kept passage on. With these places known, of each signature the first copy stays
+    that comes before its group is full; and that gives the places. Starting from no group full, places only move ahead, to those of
+    the sweep. A round is an aggregation of first copies; the places, one a group, are all that comes to the driver.
+    """
+    place = F.struct(*order)
+    first = rows.groupBy(T.signature(F.col(passage)).alias("_signature"), F.col(group).alias("_group")).agg(F.min(place).alias("_at")).cache()  # read in every round
+    shape, full = first.schema["_at"].dataType, None
+    while True:
+        before = F.lit(True)
+        for name, at in (full or {}).items():
+            before = F.when(F.col("_group").eqNullSafe(F.lit(name)), F.col("_at") <= F.struct(*[F.lit(v) for v in at]).cast(shape)).otherwise(before)
+        kept = first.where(before).groupBy("_signature").agg(F.min(F.struct("_at", "_group")).alias("_x")).select("_x.*")
+        last = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy("_at"))).where(F.col("_rank") <= cap)
+        found = {r["_group"]: tuple(r["_at"]) for r in last.where(F.col("_rank") == cap).collect()}  # a row for each full group
+        if found == (full or {}):
+            break
+        full = found
+    return rows.withColumn("_at", place).withColumn("_group", F.col(group)).join(last.select("_group", "_at"), ["_group", "_at"], "left_semi").drop("_group", "_at")
+
+
+def corpus_rows(passages: DataFrame, prefix: str, document: Column, author: str, title: str, date: str) -> DataFrame:
+    """passages with an id by document and number, credits cut to what a corpus stores, and a whole year."""
+    return passages.withColumn("id", F.concat_ws("-", F.lit(prefix), document.cast("string"), F.col("passage_no").cast("string"))).withColumn(author, F.substring(author, 1, AUTHOR_CHARS)).withColumn(title, F.substring(title, 1, TITLE_CHARS)).withColumn("year", F.floor(F.col(date)).cast("bigint"))
+
+
+def credits(passages: DataFrame) -> DataFrame:
+    """What of a passage is shown beside an answer."""
+    return passages.select("author", "title")
+
+
 def spread(rows: DataFrame, groups: list[str], order: list[str], per: int, seed: str = "0") -> DataFrame:
     """`per` rows spread over each group: one for each equal slice, chosen by a hash of seed, group and slice; all of a smaller group.
 

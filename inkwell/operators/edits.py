@@ -6,6 +6,8 @@ one group of a grouped map; attempts are many and bounded (a model's answer), an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,17 +77,26 @@ COLLECTED = "attempt_id bigint, seq bigint, id string, reason string, original s
 def collected(edits: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """What becomes of each (attempt_id, seq, text, original, replacement), as a stream of the attempt would show it.
 
-    Where `texts` (attempt_id, text) is given, each text goes to Python once, not with each of its edits.
+    Where `texts` (attempt_id, text) is given, each text goes to Python once, not with each of its edits. A task reads its attempts
+    one after the other in the order of the shuffle: a text, then its edits; only one text is held at a time.
     """
+    whole = edits.groupBy("attempt_id").agg(F.min("text").alias("text")) if texts is None else texts.select("attempt_id", "text")
+    asked = whole.join(edits.select("attempt_id").distinct(), "attempt_id", "left_semi")
+    heads = asked.select("attempt_id", F.lit(-1).cast("bigint").alias("seq"), F.col("text").alias("original"), F.lit(None).cast("string").alias("replacement"), F.lit(0).alias("_kind"))
+    rows = heads.unionByName(edits.select("attempt_id", "seq", "original", "replacement", F.lit(1).alias("_kind")))
 
-    def outcomes(rows: pd.DataFrame, text: pd.Series) -> pd.DataFrame:
-        keep = guard.Collector(text.iloc[0]) if len(rows) and len(text) else None
-        out = [(r.attempt_id, r.seq, *keep.add(r.original, r.replacement)) for r in rows.sort_values("seq").itertuples(index=False)] if keep else []
-        return pd.DataFrame(out, columns=["attempt_id", "seq", "id", "reason", "original", "replacement", "start", "end"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep, own = None, None
+        for batch in batches:
+            out = []
+            for attempt, seq, original, replacement, kind in batch[["attempt_id", "seq", "original", "replacement", "_kind"]].itertuples(index=False):
+                if kind == 0:
+                    keep, own = (None if original is None else guard.Collector(original)), attempt
+                elif keep is not None and own == attempt:
+                    out.append((attempt, seq, *keep.add(original, replacement)))
+            yield pd.DataFrame(out, columns=["attempt_id", "seq", "id", "reason", "original", "replacement", "start", "end"])
 
-    if texts is None:
-        return edits.groupBy("attempt_id").applyInPandas(lambda rows: outcomes(rows, rows.sort_values("seq")["text"]), COLLECTED)
-    return edits.groupBy("attempt_id").cogroup(texts.select("attempt_id", "text").groupBy("attempt_id")).applyInPandas(lambda rows, whole: outcomes(rows, whole["text"]), COLLECTED)
+    return rows.repartition("attempt_id").sortWithinPartitions("attempt_id", "_kind", "seq").mapInPandas(run, COLLECTED)
 
 
 def guarded(edits: DataFrame) -> DataFrame:
@@ -141,3 +152,25 @@ def stand_in(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     replacement = F.concat(F.upper(F.substring(tail, 1, 1)), F.expr("substring(" + "_tail" + ", 2)"))
     made = at.withColumn("_tail", tail).withColumn("replacement", replacement).where("original <> replacement")
     return made.select("attempt_id", (F.col("pos") / 2).cast("bigint").alias("seq"), "original", "replacement")
+
+
+def facts_stated(texts: DataFrame, key: str, text: str = "text", facts: str = "facts") -> DataFrame:
+    """(key, fact_no, stated) of texts with an array of facts: whether every figure of a fact stands in its text."""
+    own = texts.select(key, F.transform(figures_of(F.col(text)), lambda f: f["value"]).alias("_own"), F.posexplode(facts).alias("fact_no", "_fact"))
+    figures_ = F.transform(figures_of(F.col("_fact")), lambda f: f["value"])
+    return own.select(key, "fact_no", (F.size(F.array_except(figures_, F.col("_own"))) == 0).alias("stated"))
+
+
+def progress(drops: DataFrame, key: str = "attempt_id", order: str = "seq") -> DataFrame:
+    """drops, a row an edit with its `reason` or none, with how many of the attempt were dropped and accepted so far, and their share."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = drops.withColumn("dropped", F.count_if(F.col("reason").isNotNull()).over(w)).withColumn("seen", F.count("*").over(w))
+    return counted.withColumn("share", (F.col("seen") - F.col("dropped")) / F.greatest(F.col("seen"), F.lit(1)))
+
+
+def moved(edits: DataFrame, steps: int, key: str = "attempt_id") -> DataFrame:
+    """For each edit the one `steps` further on in reading order, round the end: what moving the focus reaches."""
+    w = Window.partitionBy(key)
+    placed = edits.select(key, "id", "start").withColumn("_at", F.row_number().over(w.orderBy("start", "id")) - 1).withColumn("_n", F.count("*").over(w))
+    goal = placed.select(key, F.col("_at").alias("_goal"), F.col("id").alias("moved_id"))
+    return placed.withColumn("_goal", F.pmod(F.col("_at") + F.lit(steps), F.col("_n"))).join(goal, [key, "_goal"]).select(key, "id", "moved_id")

@@ -109,66 +109,70 @@ def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.rollup("lang", "quality").agg(F.count("*").alias("n"), F.min("n_chars").alias("least_chars"), F.max("n_chars").alias("most_chars"))
 
 
-# Literal cases for rules that the test tables have no data for.
-_META = [
-    ("doc-1", "English-PD", "Open Culture", "Public Domain", 1890.0, "A Title", "Smith, John, 1820-1900", "English", 900),
-    ("doc-2", "English-PD", "Open Culture", "Publc Domain", 1890.0, "None", "None", "English", 900),
-    ("doc-3", "English-PD", "Open Culture", "CC-By", 1890.0, "A Title", "x", "English", 900),
-    ("doc-4", "US-PD-Newspapers", "Open Culture", "Public Domain", 1901.0, None, None, "English", 900),
-    ("doc-5", "French-PD-Newspapers", "Open Culture", "Public Domain", None, "Le Temps", None, "French", 900),
-    ("doc-6", "French-PD-Books", "Open Culture", "Public Domain", 1950.0, " Essais ", "Montaigne, Michel de, 1533-1592|x", "French", 500),
-    ("doc-7", "Gutenberg", "Open Culture", "Public Domain", 1890.0, "A Title", "x", "English", 900),
-    ("doc-8", "English-PD", "Open Web", "Public Domain", 1890.0, "A Title", "x", "English", 900),
-    ("doc-9", "English-PD", "Open Culture", "Public Domain", 1951.0, "A Title", "x", "English", 900),
-    ("doc-10", "English-PD", "Open Culture", "Public Domain", 1890.0, "A Title", "x", "German", 900),
-    ("doc-11", "English-PD", "Open Culture", "Public Domain", 1890.0, "A Title", "x", "English", 100),
-]
-_META_DDL = "identifier string, collection string, open_type string, license string, date double, title string, creator string, language string, word_count int"
-
-
-def _sql_rows(rows: list[tuple]) -> str:
-    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue fields of each order, chosen by its key, so that every rule meets every other one's outcome."""
+    pick = lambda values, step: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.floor(F.col("o_orderkey") / step), F.lit(len(values))) + 1).cast("int"))
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        pick(("English-PD", "French-PD-Books", "US-PD-Newspapers", "Gutenberg"), 1).alias("collection"),
+        pick(("Open Culture", "Open Culture", "Open Web"), 4).alias("open_type"),
+        pick(("Public Domain", "Publc Domain", "CC-By"), 2).alias("license"),
+        F.when(F.col("o_orderkey") % 11 != 0, F.lit(1800.0) + F.col("o_custkey") % 200).alias("date"),
+        F.when(F.col("o_orderkey") % 5 == 0, "None").when(F.col("o_orderkey") % 5 != 1, F.concat(F.lit(" Title "), "o_custkey")).alias("title"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Client, "), "o_orderpriority", F.lit(", 1820-1900|x"))).alias("creator"),
+        pick(("English", "French", "German"), 3).alias("language"),
+        (F.col("o_custkey") % 1000).cast("int").alias("word_count"),
+    )
 
 
 def select_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_META, _META_DDL)
     c = F.col
-    kept = rows.where(metadata.selected(c("open_type"), c("language"), c("license"), c("collection"), c("date"), c("word_count")))
+    kept = _metadata(spark, d).where(metadata.selected(c("open_type"), c("language"), c("license"), c("collection"), c("date"), c("word_count")))
     credit = metadata.credit_for(c("title"), c("creator"), c("collection"), c("date"))
-    return kept.select("identifier", metadata.lookup(c("language"), metadata.LANGUAGES).alias("lang"), metadata.lookup(c("collection"), metadata.KIND_BY_COLLECTION).alias("kind"), credit["credit"].alias("credit"), credit["title"].alias("shown_title"))
-
-
-_AUTHORS = ["Austen, Jane, 1775-1817", "Chesterton, G. K. (Gilbert Keith), 1874-1936", "Stendhal, 1783-1842", "Twain, Mark, 1835-1910; Kemble, E. W. [Illustrator]", "Anonymous"]
-_TITLES = ["Tess of the d'Urbervilles: A Pure Woman", "Essais — Volume 1", "First line\nsecond line", "Plain", ""]
+    return kept.select("o_orderkey", metadata.lookup(c("language"), metadata.LANGUAGES).alias("lang"), metadata.lookup(c("collection"), metadata.KIND_BY_COLLECTION).alias("kind"), credit["credit"].alias("credit"), credit["title"].alias("shown_title"))
 
 
 def catalog_metadata(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(zip(range(5), _AUTHORS, _TITLES, strict=True)), "id bigint, author string, title string")
-    parsed = metadata.parse_author(F.col("author"))
-    return rows.select("id", parsed["name"].alias("name"), parsed["death"].alias("death"), metadata.short_title(F.col("title")).alias("short"), metadata.public_domain(parsed["death"]).alias("free"))
+    """Authors and titles as a catalogue writes them, of each customer."""
+    key, death = F.col("c_custkey"), F.col("c_custkey") % 150 + 1850
+    author = F.when(key % 4 == 0, F.concat(F.lit("Name"), key, F.lit(", Ann B. (Anna Bo), 1801-"), death)).when(key % 4 == 1, F.concat(F.lit("Mono"), key)).when(key % 4 == 2, F.concat(F.lit("Last, First"), key, F.lit(", 1801-"), death, F.lit("; Other, Who [Illustrator]"))).otherwise("Anonymous")
+    title = F.when(key % 3 == 0, F.concat(F.lit("Title "), key, F.lit(": a sequel"))).when(key % 3 == 1, F.concat(F.lit("Essais "), key, F.lit(" — Volume 1"))).otherwise(F.concat(F.lit("First\nSecond "), key))
+    parsed = metadata.parse_author(author)
+    return table(spark, d, "customer").select("c_custkey", parsed["name"].alias("name"), parsed["death"].alias("death"), metadata.short_title(title).alias("short"), metadata.public_domain(parsed["death"]).alias("free"))
 
 
-_BROKEN = ["mÃ©tiers", "métiers Ã", "need \x97 unless", "A [Illustration: a cat] _very_ [Pg 12]good day.", "plain"]
+def repaired_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each document misread in four ways, and with an editor's marks."""
+    word, k = F.regexp_extract("text", "[a-zA-Z]+", 0), F.pmod("doc_id", F.lit(4))
+    broken = F.when(k == 0, F.concat(word, F.lit(" mÃ©tiers"))).when(k == 1, F.concat(word, F.lit(" métiers Ã"))).when(k == 2, F.concat(word, F.lit(" \x97 unless"))).otherwise(F.concat(F.lit("[Illustration: a cat] _"), word, F.lit("_ [Pg 12]day.")))
+    return table(spark, d, "documents").select("doc_id", metadata.fix_mojibake(broken).alias("fixed"), T.clean_book(broken).alias("cleaned"))
 
 
-def repaired_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_BROKEN)), "id bigint, t string")
-    return rows.select("id", metadata.fix_mojibake(F.col("t")).alias("fixed"), T.clean_book(F.col("t")).alias("cleaned"))
+def dehyphenated(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's text with broken words, of which the vocabulary knows some."""
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("the gar- den of "), "c_mktsegment", F.lit(", a well- known tra- versing of gar- den- paths")).alias("t"))
+    vocab = spark.createDataFrame([("garden",), ("traversing",)], "word string")
+    return corpus.dehyphenated(rows, vocab, ["c_custkey"], "t")
 
 
-_HYPHENS = [(0, "the gar- den was kept"), (1, "a well- known man"), (2, "none here"), (3, "tra- versing the gar- den- path")]
+def article_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents read as articles, with lines of a page put around them."""
+    page = F.concat(F.lit("Sign up for our newsletter\r\nA line of the page\n"), "text", F.when(F.col("doc_id") % 2 == 0, "\nRead more\nAnother title").otherwise("\n\n  Cookies \nlast line"))
+    body = T.clean_article(page)
+    return table(spark, d, "documents").select("doc_id", F.md5(body.cast("binary")).alias("body_md5"), F.length(body).cast("bigint").alias("n"))
 
 
-def dehyphenated(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_HYPHENS, "id bigint, t string")
-    vocab = spark.createDataFrame([("garden",), ("traversing",)], "word string")
-    return corpus.dehyphenated(rows, vocab, ["id"], "t")
+def crawl_years(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl's name for each page, some unknown or missing."""
+    k = F.pmod("page_id", F.lit(10))
+    dump = F.when(k == 8, "unknown").when(k < 8, F.concat(F.lit("CC-MAIN-"), k + 2017, F.lit("-21")))
+    year = metadata.crawl_year(dump)
+    return table(spark, d, "pages").select("page_id", year.alias("year"), F.coalesce(year <= metadata.LATEST_CRAWL_YEAR, F.lit(False)).alias("usable"))
 
 
 QUERIES = {f.__name__: f for f in (
     passage_windows, passage_dedupe_caps, passage_profile, exact_dedupe_last_wins, exact_dedupe_distinct, site_caps, prose_metrics, vocabulary_topn, noise_report,
-    reject_reasons, language_guess, stratified_sample, edge_trim, signatures, folded_words, corpus_profile, select_documents, catalog_metadata, repaired_texts, dehyphenated,
+    reject_reasons, language_guess, stratified_sample, edge_trim, signatures, folded_words, corpus_profile, select_documents, catalog_metadata, repaired_texts, dehyphenated, article_lines, crawl_years,
 )}
 
 # DuckDB. RE2 has no look-around: a sentence break is marked by a replacement that keeps both neighbours.
@@ -210,6 +214,9 @@ _VOCAB = f"""SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT {_FOLD
   SELECT unnest({_WORDS.format('text')}) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))) GROUP BY word ORDER BY n DESC, word LIMIT 2000) WHERE n >= 3 AND length(word) > 1"""
 _SENTENCES = _Sql("len(list_filter(regexp_split_to_array(regexp_replace(@, '^" + _WS + "+|" + _WS + "+$', '', 'g'), '[.!?…]+[\"”»’)]*" + _WS + "+'), lambda s: regexp_matches(s, '[^" + _WS[1:] + "')))")
 
+#: A line of a page: RE2 has no look-around, so the neighbours of a word are part of the match.
+_PAGE = "(?i)(?:^|[^\\p{L}\\p{N}_])" + T.PAGE_LINE[T.PAGE_LINE.index("(subscribe") : T.PAGE_LINE.rindex("(?![")].replace("'", "''") + "(?:$|[^\\p{L}\\p{N}_])"
+
 _EN = ", ".join(f"'{w}'" for w in language.ENGLISH)
 _FR = ", ".join(f"'{w}'" for w in language.FRENCH)
 
@@ -247,13 +254,29 @@ SELECT doc_id, (generate_subscripts(kept, 1) - 1)::bigint AS block_no, length(un
     "signatures": f"SELECT doc_id, {_SIGNATURE.format('text')} AS signature FROM documents",
     "folded_words": f"SELECT {_FOLD.format('w')} AS word, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1",
     "corpus_profile": "SELECT lang, quality, count(*) AS n, min(n_chars) AS least_chars, max(n_chars) AS most_chars FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, quality)",
-    "select_documents": f"""
-SELECT identifier, CASE language WHEN 'English' THEN 'en' ELSE 'fr' END AS lang, CASE WHEN collection LIKE '%Newspapers' THEN 'news' ELSE 'book' END AS kind,
-  CASE identifier WHEN 'doc-1' THEN 'John Smith' WHEN 'doc-2' THEN 'Book (1890)' WHEN 'doc-4' THEN 'US newspaper (1901)' WHEN 'doc-6' THEN 'Michel de Montaigne' END AS credit,
-  CASE identifier WHEN 'doc-1' THEN 'A Title' WHEN 'doc-2' THEN 'Book, 1890' WHEN 'doc-4' THEN 'US newspaper, 1901' WHEN 'doc-6' THEN 'Essais' END AS shown_title
-FROM (VALUES {_sql_rows(_META)}) m(identifier, collection, open_type, license, date, title, creator, language, word_count)
-WHERE open_type = 'Open Culture' AND language IN ('English', 'French') AND license IN ('Public Domain', 'Publc Domain') AND (collection LIKE '%-PD%' OR collection IN ('Wikisource', 'Europeana')) AND date <= 1950 AND word_count >= 500""",
-    "catalog_metadata": "SELECT * FROM (VALUES (0::bigint, 'Jane Austen', 1817, 'Tess of the d''Urbervilles', true), (1, 'G. K. Chesterton', 1936, 'Essais', true), (2, 'Stendhal', 1842, 'First line', true), (3, 'Mark Twain', 1910, 'Plain', true), (4, 'Anonymous', NULL, '', false)) t(id, name, death, short, free)",
-    "repaired_texts": "SELECT * FROM (VALUES (0::bigint, 'métiers', 'm' || chr(195) || chr(169) || 'tiers'), (1, 'métiers Ã', 'métiers Ã'), (2, 'need — unless', 'need ' || chr(151) || ' unless'), (3, 'A [Illustration: a cat] _very_ [Pg 12]good day.', 'A   very good day.'), (4, 'plain', 'plain')) t(id, fixed, cleaned)",
-    "dehyphenated": "SELECT * FROM (VALUES (0::bigint, 'the garden was kept'), (1, 'a well-known man'), (2, 'none here'), (3, 'traversing the garden- path')) t(id, t)",
+    "select_documents": """
+WITH m AS (SELECT o_orderkey, (['English-PD', 'French-PD-Books', 'US-PD-Newspapers', 'Gutenberg'])[(o_orderkey % 4 + 1)::int] AS collection, (['Open Culture', 'Open Culture', 'Open Web'])[(o_orderkey // 4 % 3 + 1)::int] AS open_type,
+  (['Public Domain', 'Publc Domain', 'CC-By'])[(o_orderkey // 2 % 3 + 1)::int] AS license, CASE WHEN o_orderkey % 11 <> 0 THEN 1800 + o_custkey % 200 END AS year,
+  CASE WHEN o_orderkey % 5 > 1 THEN 'Title ' || o_custkey ELSE '' END AS title, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || ' Client' ELSE '' END AS author,
+  (['English', 'French', 'German'])[(o_orderkey // 3 % 3 + 1)::int] AS language, o_custkey % 1000 AS words FROM orders)
+SELECT o_orderkey, CASE language WHEN 'English' THEN 'en' ELSE 'fr' END AS lang, CASE WHEN collection LIKE '%Newspapers' THEN 'news' ELSE 'book' END AS kind,
+  CASE WHEN author <> '' THEN author WHEN title <> '' THEN title ELSE CASE WHEN collection LIKE '%Newspapers' THEN 'US newspaper' ELSE 'Book' END || ' (' || year || ')' END AS credit,
+  CASE WHEN title <> '' THEN title WHEN author <> '' THEN author ELSE CASE WHEN collection LIKE '%Newspapers' THEN 'US newspaper' ELSE 'Book' END || ', ' || year END AS shown_title
+FROM m WHERE open_type = 'Open Culture' AND language <> 'German' AND license <> 'CC-By' AND collection <> 'Gutenberg' AND year <= 1950 AND words >= 500""",
+    "catalog_metadata": """
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Ann B. Name' || c_custkey WHEN 1 THEN 'Mono' || c_custkey WHEN 2 THEN 'First' || c_custkey || ' Last' ELSE 'Anonymous' END AS name,
+  CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 150 + 1850)::int END AS death, CASE c_custkey % 3 WHEN 0 THEN 'Title ' || c_custkey WHEN 1 THEN 'Essais ' || c_custkey ELSE 'First' END AS short,
+  c_custkey % 2 = 0 AND c_custkey % 150 + 1850 <= 1955 AS free FROM customer""",
+    "repaired_texts": """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN w || ' métiers' WHEN 1 THEN w || ' métiers Ã' WHEN 2 THEN w || ' — unless' ELSE '[Illustration: a cat] _' || w || '_ [Pg 12]day.' END AS fixed,
+  CASE doc_id % 4 WHEN 0 THEN w || ' mÃ©tiers' WHEN 1 THEN w || ' métiers Ã' WHEN 2 THEN w || ' ' || chr(151) || ' unless' ELSE '  ' || CASE WHEN w = '' THEN '__' ELSE w END || ' day.' END AS cleaned
+FROM (SELECT doc_id, regexp_extract(text, '[a-zA-Z]+') AS w FROM documents)""",
+    "dehyphenated": "SELECT c_custkey, 'the garden of ' || c_mktsegment || ', a well-known traversing of garden- paths' AS t FROM customer",
+    "article_lines": rf"""
+WITH p AS (SELECT doc_id, 'Sign up for our newsletter' || chr(10) || 'A line of the page' || chr(10) || text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Read more' || chr(10) || 'Another title' ELSE chr(10) || chr(10) || '  Cookies ' || chr(10) || 'last line' END AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(t, chr(13), ''), chr(10)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') AS lines FROM p),
+f AS (SELECT doc_id, lines, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '(?i)^(related|read more|more from|you may also|lire aussi|à lire aussi)')), true), len(lines) + 1) AS foot FROM l),
+b AS (SELECT doc_id, array_to_string(list_filter(list_slice(lines, 1, foot - 1), lambda x: len({_TOKENS.format('x')}) >= {T.PAGE_LINE_WORDS} OR NOT regexp_matches(x, '{_PAGE}')), chr(10) || chr(10)) AS body FROM f)
+SELECT doc_id, md5(body) AS body_md5, length(body)::bigint AS n FROM b""",
+    "crawl_years": "SELECT page_id, CASE WHEN page_id % 10 < 8 THEN (page_id % 10 + 2017)::int END AS year, page_id % 10 <= 5 AS usable FROM pages",
 }

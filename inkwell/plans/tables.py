@@ -99,12 +99,11 @@ def host_domains(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", M.host(F.col("url")).alias("host"), M.registered_domain(F.col("url")).alias("domain"))
 
 
-_URLS = ["https://www.bbc.co.uk/news/world", "http://news.bbc.co.uk/a", "https://blogs.lemonde.fr/a", "not a url", "https://nytimes.com.evil.example/x", "https://www.theguardian.com/uk", None]
-
-
 def listed_sites(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_URLS)), "id bigint, url string")
-    return rows.select("id", M.registered_domain(F.col("url")).alias("domain"), M.matching_site(F.col("url"), web.SITES["en"] + web.SITES["fr"]).alias("site"))
+    """Addresses made of each page's: of a listed site, of a subdomain of one, of a host that only looks like one, and of none."""
+    path, k = F.regexp_extract("url", r"^[a-z]+://[^/]*(.*)$", 1), F.pmod("page_id", F.lit(6))
+    url = F.when(k == 0, F.concat(F.lit("https://www.bbc.co.uk"), path)).when(k == 1, F.concat(F.lit("http://blogs.lemonde.fr"), path)).when(k == 2, F.concat(F.lit("https://nytimes.com.evil.example"), path)).when(k == 3, "not a url").when(k == 4, F.concat(F.lit("https://www.theguardian.com"), path))
+    return table(spark, d, "pages").select("page_id", M.registered_domain(url).alias("domain"), M.matching_site(url, web.SITES["en"] + web.SITES["fr"]).alias("site"))
 
 
 def allowed_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -117,22 +116,9 @@ def article_clean(spark: SparkSession, d: str) -> DataFrame:
     return web.usable(made, 20, 6000).select("page_id", F.col("n_words").cast("bigint"), F.length("body").cast("bigint").alias("n_chars"))
 
 
-_ARTICLES = ["Sign up for our newsletter\nThe body of the article stands here.\n\n Read more\nRelated stories\nAnother title", "One line\r\nCookies\r\nTwo lines", "Publicité\nLire aussi : x\ny"]
-
-
-def article_lines(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_ARTICLES)), "id bigint, t string").select("id", T.clean_article(F.col("t")).alias("body"))
-
-
-def crawl_years(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "CC-MAIN-2021-21"), (1, None), (2, "unknown"), (3, "CC-MAIN-2023-06")], "id bigint, dump string")
-    year = M.crawl_year(F.col("dump"))
-    return rows.select("id", year.alias("year"), F.coalesce(year <= M.LATEST_CRAWL_YEAR, F.lit(False)).alias("usable"))
-
-
 QUERIES = {f.__name__: f for f in (
     history_newest, history_search, history_owned, merge_upsert, bounded_purge, account_deletion, send_batches, constraint_violations, orders_semi_anti, listagg_roles, median_and_nearest_rank,
-    area_status_pivot, first_seen_issues, paired_comparison, detector_auroc, host_domains, listed_sites, allowed_pages, article_clean, article_lines, crawl_years,
+    area_status_pivot, first_seen_issues, paired_comparison, detector_auroc, host_domains, listed_sites, allowed_pages, article_clean,
 )}
 
 ORACLES = {
@@ -152,8 +138,6 @@ ORACLES = {
     "paired_comparison": "SELECT *, CASE WHEN pairs < 10 THEN 'no answer' WHEN errors_on <= errors_off AND gain >= 0.5 THEN 'keep' ELSE 'leave off' END AS decision FROM (SELECT count(*) AS pairs, sum(length(a.text) % 3)::bigint AS errors_on, sum(length(b.text) % 3)::bigint AS errors_off, median(length(a.text) % 5 - length(b.text) % 5)::double AS gain FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)",
     "detector_auroc": "WITH r AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)), p AS (SELECT n_chars FROM r WHERE quality = 1), n AS (SELECT n_chars FROM r WHERE quality = 0) SELECT round(avg(CASE WHEN p.n_chars > n.n_chars THEN 1.0 WHEN p.n_chars = n.n_chars THEN 0.5 ELSE 0.0 END), 6) AS auroc FROM p, n",
     "host_domains": "SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)), '^www\\.', '') AS host FROM pages)",
-    "listed_sites": "SELECT * FROM (VALUES (0::bigint, 'bbc.co.uk', 'bbc.co.uk'), (1, 'bbc.co.uk', 'bbc.co.uk'), (2, 'lemonde.fr', 'lemonde.fr'), (3, '', NULL), (4, 'evil.example', NULL), (5, 'theguardian.com', 'theguardian.com'), (6, '', NULL)) t(id, domain, site)",
+    "listed_sites": "SELECT page_id, (['bbc.co.uk', 'lemonde.fr', 'evil.example', '', 'theguardian.com', ''])[(page_id % 6 + 1)::int] AS domain, (['bbc.co.uk', 'lemonde.fr', NULL, NULL, 'theguardian.com', NULL])[(page_id % 6 + 1)::int] AS site FROM pages",
     "allowed_pages": "SELECT site, count(*) AS n FROM pages, (VALUES ('example.com'), ('example.org')) s(site) WHERE regexp_matches(url, '://([^/]*\\.)?' || replace(site, '.', '\\.') || '([/:?#]|$)') GROUP BY 1",
-    "article_lines": "SELECT * FROM (VALUES (0::bigint, 'The body of the article stands here.'), (1, 'One line' || chr(10) || chr(10) || 'Two lines'), (2, '')) t(id, body)",
-    "crawl_years": "SELECT * FROM (VALUES (0::bigint, 2021, true), (1, NULL, false), (2, NULL, false), (3, 2023, false)) t(id, year, usable)",
 }

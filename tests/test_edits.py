@@ -7,8 +7,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from inkwell.functions.edits import figures, guard, locate, units
-from inkwell.plans.edits import CASES
 from inkwell.streaming.chunks import EventLines, Parser
+from test_literals import CASES
 
 
 @pytest.mark.parametrize(("original", "replacement", "reason"), CASES)

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections import Counter
 
 import pytest
-
 from hypothesis import given
 from hypothesis import strategies as st
 
 from inkwell.functions.edits import figures, guard
-from inkwell.llm import op1_url_filters, op2_media
 from inkwell.operators import edits
 from inkwell.plans import edits as edit_plans
 from inkwell.plans import corpus, lines, retrieval
@@ -29,8 +26,10 @@ def texts_dir(spark, tmp_path_factory):
 
 
 def test_edits_of_all_documents(spark, texts_dir):
+    docs = spark.read.parquet(f"{texts_dir}/documents.parquet")
+    proposed, whole = edits.stand_in(docs), docs.selectExpr("doc_id AS attempt_id", "text")
     made: dict[int, list] = {}
-    for r in sorted(edits.stand_in(spark.read.parquet(f"{texts_dir}/documents.parquet")).collect(), key=lambda r: (r["attempt_id"], r["seq"])):
+    for r in sorted(proposed.collect(), key=lambda r: (r["attempt_id"], r["seq"])):
         made.setdefault(r["attempt_id"], []).append(r)
     places, reasons, results = set(), Counter(), set()
     for i, text in _TEXTS:
@@ -44,9 +43,11 @@ def test_edits_of_all_documents(spark, texts_dir):
         results |= {(i, hashlib.md5(result.encode()).hexdigest(), len(result))} if i in made else set()
         reasons.update(filter(None, guard.guard_all([(r["original"], r["replacement"]) for r in made.get(i, [])])))
     assert set(made) == {1, 2, 5, 7, 8} and reasons["too_many"] == 20
-    assert {tuple(r) for r in edit_plans.locate_edits(spark, texts_dir).collect()} == places
-    assert {r["reason"]: r["n"] for r in edit_plans.drop_histogram(spark, texts_dir).collect()} == dict(reasons)
-    assert {tuple(r) for r in edit_plans.apply_edits(spark, texts_dir).collect()} == results
+    found = edits.collected(proposed, whole)
+    assert {tuple(r) for r in found.select("attempt_id", "seq", "id", "reason", "start", "end").collect()} == places
+    assert {r["reason"]: r["n"] for r in edits.histogram(edits.guarded(proposed)).collect()} == dict(reasons)
+    done = edits.applied(whole.join(proposed, "attempt_id", "left_semi"), found.where("id is not null").selectExpr("*", "true AS accepted"))
+    assert {tuple(r) for r in done.selectExpr("attempt_id", "md5(cast(result AS binary))", "length(result)").collect()} == results
 
 
 @given(st.text(alphabet="0123456789.,-/:% ab€$−–)'’\u00a0pct²", max_size=60))
@@ -78,31 +79,3 @@ def test_whole_vectors_words_and_query_sets(spark, tmp_path):
     assert {r["query_id"] for r in retrieval.topk_each_query(spark, d).collect()} == {0, 20, 40, 60}
     assert {(r["id"], r["literal"], r["n"]) for r in retrieval.vector_literals(spark, d).collect()} == {(i, "[" + ",".join(f"{x:.6f}" for x in [i + 1, *[k / 8 for k in range(63)]]) + "]", 64) for i in range(61)}
     assert {tuple(r) for r in corpus.folded_words(spark, d).collect()} == {("deja", 2), ("vu", 1), ("naivete", 1)}
-
-
-def test_entries_of_any_depth_and_of_a_last_label(spark):
-    urls = {1: "https://a.org/x/y/z/w?q", 2: "https://a.org/x/y/z", 3: "https://a.org/x/y", 4: "https://b.test/", 5: "https://c.d.org/x/y/z/w", 6: "https://b.net"}
-    rows = spark.createDataFrame(list(urls.items()), "page_id bigint, url string").selectExpr("*", "DATE'2024-05-01' AS fetched")
-    listed = spark.createDataFrame([("a.org/x/y/z/w/", "deny"), ("a.org/x/y/z/", "allow"), ("a.org", "deny"), ("test", "deny"), ("org", "allow")], "pattern string, action string").selectExpr("*", "DATE'2024-01-01' AS day")
-    found = {r["page_id"]: (r["verdict"], r["pattern"]) for r in op1_url_filters.evaluate(rows, listed).collect()}
-    assert found == {1: ("deny", "a.org/x/y/z/w/"), 2: ("allow", "a.org/x/y/z/"), 3: ("deny", "a.org"), 4: ("deny", "test"), 5: ("allow", "org"), 6: ("unlisted", None)}
-
-
-def _trak(codec, step, sizes, offsets, sync, wide):
-    box, full, u32 = op2_media._box, op2_media._full, lambda *n: struct.pack(f">{len(n)}I", *n)
-    places = full(b"co64", u32(len(offsets)), struct.pack(f">{len(offsets)}Q", *offsets)) if wide else full(b"stco", u32(len(offsets), *offsets))
-    tables = [full(b"stsd", u32(1), box(codec, bytes(8))), full(b"stts", u32(1, len(sizes), step)), full(b"stsc", u32(1, 1, len(sizes) // len(offsets), 1)), full(b"stsz", u32(0, len(sizes), *sizes)), places]
-    tables += [full(b"stss", u32(len(sync), *sync))] if sync else []
-    return box(b"trak", box(b"mdia", full(b"mdhd", u32(0, 0, 90, 0, 0)), box(b"minf", box(b"stbl", *tables))))
-
-
-def test_tracks_are_described_each_by_itself(spark):
-    data = op2_media._box(b"mdat", bytes(100))
-    sound, film = _trak(b"mp4a", 2, [5, 5], [8], None, True), _trak(b"avc1", 3, [10, 20, 10, 20], [18, 48], [1, 4], False)
-    both, turned = (data + op2_media._box(b"moov", *t) for t in ((sound, film), (film, sound)))
-    a, b = "mp4a/90/4/2/2/8-18", "avc1/90/12/4/2/18-28,58-78"
-    pieces = op2_media._box(b"moov", _trak(b"avc1", 1, [], [8], None, False)) + op2_media._box(b"moof", op2_media._box(b"traf", b"")) + data
-    stored = spark.createDataFrame([(1, 0, bytearray(both)), (2, 0, bytearray(turned)), (3, 0, bytearray(pieces))], "id bigint, n_bytes bigint, media binary")
-    found = {r["id"]: r for r in op2_media.media_columns(stored).collect()}
-    assert [found[i]["feature"] for i in (1, 2)] == [f"{a};{b}", f"{b};{a}"] and [found[i]["codec"] for i in (1, 2)] == ["mp4a", "avc1"]
-    assert "fragmented" in found[3]["error"] and found[3]["feature"] is None
