@@ -68,12 +68,17 @@ def registered_domain(url: Column) -> Column:
     return F.array_join(F.slice(parts, F.greatest(n - take, F.lit(0)) + 1, take), ".")
 
 
-def host_suffixes(url: Column) -> Column:
-    """The host and all its parent domains, so that a list of sites can be joined by equality."""
-    parts = F.split(host(url), r"\.")
+def suffixes(name: Column) -> Column:
+    """A host and all its parent domains."""
+    parts = F.split(name, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
+def host_suffixes(url: Column) -> Column:
+    """A URL's host and all its parent domains, so that a list of sites can be joined by equality."""
+    return suffixes(host(url))
+
+
 def matching_site(url: Column, sites: Sequence[str]) -> Column:
     """The listed site that a URL belongs to, itself or a subdomain; null where none. For short lists: see operators.web for joins."""
     return F.get(F.filter(host_suffixes(url), lambda s: s.isin(*sites)), F.lit(0))

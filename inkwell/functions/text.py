@@ -76,27 +76,37 @@ def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_BREAK)
 
 
+def _counted(squeezed_text: Column) -> Column:
+    """Words of a text whose words single spaces divide."""
+    return F.length(squeezed_text) - F.length(F.translate(squeezed_text, " ", "")) + 1
+
+
 def split_long(paragraph: Column, most: int = MAX_WORDS) -> Column:
-    """A paragraph, or, when it has more words, its sentences packed into pieces of at most `most` words; a longer sentence stays whole."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    """A squeezed paragraph, or, when it has more words, its sentences packed into pieces of at most `most` words; a longer sentence stays whole.
+
+    Pieces are structs of `passage` and `n_words`. Every sentence is counted once; packing adds numbers.
+    """
+    piece = lambda text, n: F.struct(text.alias("passage"), n.cast("int").alias("n_words"))
+    empty = F.struct(F.array().cast("array<struct<passage:string,n_words:int>>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
     def add(state: Column, sentence: Column) -> Column:
-        n = word_count(sentence)
-        full = (state["n"] > 0) & (state["n"] + n > most)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
-            F.when(full | (state["n"] == 0), sentence).otherwise(F.concat_ws(" ", state["open"], sentence)).alias("open"),
-            F.when(full, n).otherwise(state["n"] + n).alias("n"),
-        )
+        def step(full: Column) -> Column:
+            return F.struct(
+                F.when(full, F.concat(state["done"], F.array(piece(state["open"], state["n"])))).otherwise(state["done"]).alias("done"),
+                F.when(full | (state["n"] == 0), sentence["passage"]).otherwise(F.concat_ws(" ", state["open"], sentence["passage"])).alias("open"),
+                (F.when(full, 0).otherwise(state["n"]) + sentence["n_words"]).alias("n"),
+            )
+
+        return step((state["n"] > 0) & (state["n"] + sentence["n_words"] > most))
 
-    packed = F.aggregate(sentences(paragraph), empty, add, lambda s: F.concat(s["done"], F.array(s["open"])))
-    return F.when(word_count(paragraph) <= most, F.array(paragraph)).otherwise(packed)
+    parts = F.transform(sentences(paragraph), lambda s: piece(s, _counted(s)))
+    packed = F.aggregate(parts, empty, add, lambda s: F.concat(s["done"], F.array(piece(s["open"], s["n"]))))
+    return let(_counted(paragraph), lambda n: F.when(n <= most, F.array(piece(paragraph, n))).otherwise(packed))
 
 
 def pieces(blocks: Column, least: int = MIN_WORDS, most: int = MAX_WORDS) -> Column:
-    """Usable passages of paragraphs, in reading order."""
-    cut = F.flatten(F.transform(blocks, lambda p: split_long(p, most)))
-    return F.filter(cut, lambda p: word_count(p).between(least, most))
+    """Usable passages of paragraphs with their numbers of words, in reading order."""
+    return F.filter(F.flatten(F.transform(blocks, lambda p: split_long(p, most))), lambda p: p["n_words"].between(least, most))
 
 
 def windows(text: Column, least: int = MIN_WORDS, most: int = MAX_WORDS, separator: str = r"\n(?U:\s*)\n") -> Column:
@@ -205,7 +215,7 @@ def clean_article(text: Column) -> Column:
 
 def plain_html(html: Column) -> Column:
     """A page's text: scripts and tags go, block tags become line ends, the commonest entities are read."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|head)[^>]*>.*?</\1>|<!--.*?-->", "")
+    bare = F.regexp_replace(html, r"(?is)<script(?:\s[^>]*)?>.*?</script>|<style(?:\s[^>]*)?>.*?</style>|<head(?:\s[^>]*)?>.*?</head>|<!--.*?-->", "")
     lines = F.regexp_replace(bare, r"(?i)<(?:/?(?:p|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|br)(?:\s[^>]*)?/?)>", "\n")
     text = F.regexp_replace(lines, r"<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.operators.sizes import numbered, small
 
 # Thresholds of the noise report.
 MIN_COMMON, MAX_UNKNOWN, MAX_FRAGMENTS, MAX_JUNK = 0.35, 0.10, 0.22, 1.5
@@ -18,8 +19,9 @@ AUTHOR_CHARS, TITLE_CHARS = 120, 160
 
 def passages(docs: DataFrame, text: str = "text", least: int = T.MIN_WORDS, most: int = T.MAX_WORDS, separator: str = r"\n(?U:\s*)\n") -> DataFrame:
     """docs with a row for each usable passage: passage_no from 0, passage and n_words instead of the text."""
-    cut = docs.select("*", F.posexplode(T.windows(F.col(text), least, most, separator)).alias("passage_no", "passage"))
-    return cut.drop(text).withColumn("n_words", T.word_count(F.col("passage")))
+    kept = [c for c in docs.columns if c != text]
+    cut = docs.select(*kept, T.windows(F.col(text), least, most, separator).alias("_cut"))
+    return cut.select(*kept, F.posexplode("_cut").alias("passage_no", "_p")).select(*kept, "passage_no", "_p.*")
 
 
 def edge_trimmed(docs: DataFrame, key: str, text: str = "text", separator: str = "\n") -> DataFrame:
@@ -101,13 +103,16 @@ def spread(rows: DataFrame, groups: list[str], order: list[str], per: int, seed:
 
     Slices begin at bround(i * n / per), as the nearest even number.
     """
-    w = Window.partitionBy(*groups)
-    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order)) - 1
     edge = lambda i: F.bround(i.cast("double") * F.col("_n") / F.lit(per)).cast("int")
-    numbered = rows.withColumn("_n", n).withColumn("_at", at)
+    sizes = rows.groupBy(*groups).agg(F.count("*").alias("_n"))
+    placed = numbered(rows, order, "_at", groups)
+    same = F.lit(True)
+    for g in groups:
+        same = same & placed[g].eqNullSafe(sizes[g])
+    counted = placed.join(sizes, same).select(placed["*"], "_n")
     near = F.floor(F.col("_at") * F.lit(per) / F.col("_n")).cast("int")
     part = F.when(F.col("_at") < edge(near), near - 1).when(F.col("_at") >= edge(near + 1), near + 1).otherwise(near)
-    with_slice = numbered.withColumn("_slice", part)
+    with_slice = counted.withColumn("_slice", part)
     key = F.concat_ws("-", F.lit(seed), *[F.col(g).cast("string") for g in groups], F.col("_slice").cast("string"))
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint")
     width = F.greatest(edge(F.col("_slice") + 1) - edge(F.col("_slice")), F.lit(1))
@@ -121,15 +126,19 @@ def vocabulary(docs: DataFrame, text: str = "text", top: int = VOCABULARY_SIZE,
 
 
 def noise_report(rows: DataFrame, vocab: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key and the six measures of OCR noise. vocab: (word), at most VOCABULARY_SIZE rows, so it is broadcast."""
-    folded = rows.select(*key, F.explode(T.words(F.col(text))).alias("w")).groupBy(*key, T.fold(F.col("w")).alias("word")).agg(F.count("*").alias("n"))
-    known = folded.join(F.broadcast(vocab.select("word", F.lit(True).alias("known"))), "word", "left")
-    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    """key and the six measures of OCR noise. vocab: (word), broadcast where a count finds it small.
+
+    What needs no vocabulary is computed where the text lies and travels with its words; the words of a key are summed up in the
+    task that reads it, so the one shuffle has a row for each key, and no text.
+    """
+    read = rows.select(*key, T.char_noise(F.col(text)).alias("chars"), T.words(F.col(text)).alias("_words"))
+    folded = read.select(*key, "chars", F.explode_outer("_words").alias("_w")).select(*key, "chars", T.fold(F.col("_w")).alias("word"))
+    known = folded.join(small(vocab.select("word", F.lit(True).alias("known"))), "word", "left")
+    count = lambda c: F.count_if(c & F.col("word").isNotNull())
     unknown = F.col("known").isNull()
-    sums = known.groupBy(*key).agg(F.sum("n").alias("n"), count(~unknown).alias("common"), count(unknown & (F.length("word") >= 4)).alias("unknown"), count(unknown & (F.length("word") <= 2)).alias("fragment"))
-    ratio = lambda c: F.coalesce(F.col(c) / F.greatest(F.col("n"), F.lit(1)), F.lit(0.0))
-    whole = rows.select(*key, T.char_noise(F.col(text)).alias("chars")).join(sums, key, "left")
-    return whole.select(*key, ratio("common").alias("common_ratio"), ratio("unknown").alias("unknown_ratio"), ratio("fragment").alias("fragment_ratio"), "chars.*")
+    sums = known.groupBy(*key).agg(F.first("chars").alias("chars"), F.count("word").alias("n"), count(~unknown).alias("common"), count(unknown & (F.length("word") >= 4)).alias("unknown"), count(unknown & (F.length("word") <= 2)).alias("fragment"))
+    ratio = lambda c: F.col(c) / F.greatest(F.col("n"), F.lit(1))
+    return sums.select(*key, ratio("common").alias("common_ratio"), ratio("unknown").alias("unknown_ratio"), ratio("fragment").alias("fragment_ratio"), "chars.*")
 
 
 def is_clean() -> Column:
@@ -164,7 +173,7 @@ def dehyphenated(rows: DataFrame, vocab: DataFrame, key: list[str], text: str) -
     cut = rows.select(*key, F.posexplode(parts).alias("i", "part"))
     following = F.lead("part").over(Window.partitionBy(*key).orderBy("i"))
     glued = cut.withColumn("next", following).withColumn("whole", T.fold(F.concat(F.regexp_extract("part", r"(\p{L}+)$", 1), F.regexp_extract("next", r"^([a-zà-ÿ]+)", 1))))
-    found = glued.join(F.broadcast(vocab.select(F.col("word").alias("whole"), F.lit(True).alias("known"))), "whole", "left")
+    found = glued.join(small(vocab.select(F.col("word").alias("whole"), F.lit(True).alias("known"))), "whole", "left")
     ended = found.withColumn("out", F.concat("part", F.when(F.col("next").isNull(), "").when(F.col("known"), "").otherwise("-")))
     joined = ended.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "out"))), lambda x: x["out"]), "").alias("_whole"))
     return rows.join(joined, key, "left").withColumn(text, F.coalesce("_whole", F.col(text))).drop("_whole")
@@ -177,7 +186,9 @@ def profile(rows: DataFrame, groups: list[str], year: str | None = None) -> Data
 
 
 def curated(ids: DataFrame, catalog: DataFrame, key: str, valid: Column) -> DataFrame:
-    """ids with their catalogue rows; an error where one is missing or not valid. ids is a hand-written list."""
-    joined = catalog.withColumn("_listed", F.lit(True)).join(F.broadcast(ids), key, "right")
-    checked = F.when(F.col("_listed").isNotNull() & valid, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not usable: "), F.col(key).cast("string"))).cast("boolean"))
-    return joined.where(checked).drop("_listed")
+    """ids with their catalogue rows; an error where one is missing or not valid, found by a count before anything is returned."""
+    usable = catalog.where(valid)
+    missing = ids.select(key).join(usable.select(key), key, "left_anti").limit(1).collect()
+    if missing:
+        raise ValueError(f"not usable: {missing[0][key]}")
+    return usable.join(small(ids), key)

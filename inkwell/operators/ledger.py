@@ -7,9 +7,11 @@ Two forms. Where every reservation starts at once and nothing is given back, lim
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
+from heapq import heappop, heappush
 from typing import NamedTuple
 
 import pandas as pd
@@ -106,12 +108,18 @@ class Ticket:
 
 @dataclass
 class Book:
-    """The state of the ledger: tickets and counters. Times are UTC."""
+    """The state of the ledger: tickets and counters. Times are UTC.
+
+    Open tickets are found by their account, and by age through a heap, so that an event costs what it changes and not what is held.
+    """
 
     limits: Limits = Limits()
     tickets: dict[object, Ticket] = field(default_factory=dict)
     usage: dict[tuple[object, date], int] = field(default_factory=dict)
     total: dict[date, int] = field(default_factory=dict)
+    open: dict[object, set] = field(default_factory=dict)
+    to_expire: list[tuple[datetime, object]] = field(default_factory=list)
+    to_purge: list[tuple[datetime, object]] = field(default_factory=list)
 
     def _give_back(self, ticket: Ticket) -> None:
         at = (ticket.account, ticket.day)
@@ -120,39 +128,48 @@ class Book:
     def _ceiling(self, today: date) -> str | None:
         if self.total.get(today, 0) >= self.limits.global_daily:
             return "53402"
-        spent = sum(n for d, n in self.total.items() if d >= today.replace(day=1))
+        spent = sum(self.total.get(today.replace(day=k), 0) for k in range(1, 1 + monthrange(today.year, today.month)[1])) + sum(n for d, n in self.total.items() if d > today and (d.year, d.month) != (today.year, today.month))
         return "53403" if spent >= self.limits.global_monthly else None
 
-    def _expired(self, ticket: Ticket, now: datetime) -> bool:
-        return ticket.state in OPEN and ticket.created < now - timedelta(seconds=self.limits.ticket_ttl_seconds)
+    def _close(self, key: object, ticket: Ticket, state: str) -> None:
+        ticket.state = state
+        self.open.get(ticket.account, set()).discard(key)
 
     def reserve(self, account: object, ticket: object, now: datetime) -> str:
         """ "ok", or the code of the refusal, which leaves everything as it was."""
         if account is None:
             return "28000"
-        stale = [t for t in self.tickets.values() if self._expired(t, now)]
-        freed = {id(t) for t in stale}
-        back = {}
-        for t in stale:
-            if t.state == "reserved":
-                back[(t.account, t.day)] = back.get((t.account, t.day), 0) + 1
-        running = sum(t.account == account and t.state in OPEN and id(t) not in freed for t in self.tickets.values())
-        used = max(self.usage.get((account, now.date()), 0) - back.get((account, now.date()), 0), 0)
-        if running >= self.limits.max_in_flight:
+        today, limit = now.date(), now - timedelta(seconds=self.limits.ticket_ttl_seconds)
+        own = [self.tickets[k] for k in self.open.get(account, ())]
+        back = sum(t.created < limit and t.state == "reserved" and t.day == today for t in own)
+        if sum(t.created >= limit for t in own) >= self.limits.max_in_flight:
             return "53400"
-        if used >= self.limits.user_daily:
+        if max(self.usage.get((account, today), 0) - back, 0) >= self.limits.user_daily:
             return "53401"
-        if code := self._ceiling(now.date()):
+        if code := self._ceiling(today):
             return code
-        for t in stale:
-            if t.state == "reserved":
-                self._give_back(t)
-            t.state = "released" if t.state == "reserved" else "expired"
-        self.usage[(account, now.date())] = self.usage.get((account, now.date()), 0) + 1
-        self.tickets[ticket] = Ticket(account, now.date(), now)
-        old = sorted((t.created, k) for k, t in self.tickets.items() if t.created < now - RETENTION)[:PURGE]
-        for _, k in old:
-            del self.tickets[k]
+        while self.to_expire and self.to_expire[0][0] < limit:
+            created, key = heappop(self.to_expire)
+            stale = self.tickets.get(key)
+            if stale is not None and stale.created == created and stale.state in OPEN:
+                if stale.state == "reserved":
+                    self._give_back(stale)
+                self._close(key, stale, "released" if stale.state == "reserved" else "expired")
+        self.usage[(account, today)] = self.usage.get((account, today), 0) + 1
+        if ticket in self.tickets:
+            self.open.get(self.tickets[ticket].account, set()).discard(ticket)
+        self.tickets[ticket] = Ticket(account, today, now)
+        self.open.setdefault(account, set()).add(ticket)
+        heappush(self.to_expire, (now, ticket))
+        heappush(self.to_purge, (now, ticket))
+        purged = 0
+        while purged < PURGE and self.to_purge and self.to_purge[0][0] < now - RETENTION:
+            created, key = heappop(self.to_purge)
+            old = self.tickets.get(key)
+            if old is not None and old.created == created:
+                self.open.get(old.account, set()).discard(key)
+                del self.tickets[key]
+                purged += 1
         return "ok"
 
     def start(self, account: object, ticket: object, now: datetime) -> str:
@@ -175,7 +192,7 @@ class Book:
             return "22023"
         if own is None or own.account != account or own.state != "started":
             return "false"
-        own.state = outcome
+        self._close(ticket, own, outcome)
         return "ok"
 
     def release(self, account: object, ticket: object) -> str:
@@ -184,7 +201,7 @@ class Book:
             return "28000"
         if own is None or own.account != account or own.state != "reserved":
             return "false"
-        own.state = "released"
+        self._close(ticket, own, "released")
         self._give_back(own)
         return "ok"
 
@@ -223,17 +240,20 @@ def fold(events: Iterable[tuple], limits: Limits = Limits()) -> Iterator[tuple[o
 def replay(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(event_id, result) of (event_id, ts, action, account, ticket, outcome), in the order of (ts, event_id).
 
-    One key by design: the ceilings of all accounts order all events, as one lock would. For limits by account alone use `admitted`.
+    One task by design: the ceilings of all accounts order all events, as one lock would. It reads a sorted stream, batch after
+    batch, and holds the tickets of two days. For limits by account alone use `admitted`.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["ts", "event_id"])
-        items = ((r.event_id, r.action, None if pd.isna(r.account) else r.account, r.ticket, r.ts.to_pydatetime(), r.outcome) for r in ordered.itertuples(index=False))
-        return pd.DataFrame(list(fold(items, limits)), columns=["event_id", "result"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = Book(limits)
+        for rows in batches:
+            out = [(r.event_id, book.apply(r.action, None if pd.isna(r.account) else r.account, r.ticket, r.ts.to_pydatetime(), r.outcome)) for r in rows.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["event_id", "result"])
 
-    return events.withColumn("_everyone", F.lit(0)).groupBy("_everyone").applyInPandas(run, "event_id bigint, result string")
+    return events.repartition(1).sortWithinPartitions("ts", "event_id").mapInPandas(run, "event_id bigint, result string")
 
 
-def ticket_states(events: DataFrame, action: str = "event_type") -> DataFrame:
-    """How many tickets are in each state, from the last move of each."""
-    return events.groupBy(action).agg(F.count("*").alias("n"))
+def ticket_states(moves: DataFrame, ticket: str = "ticket", state: str = "state", ts: str = "ts", key: str = "event_id") -> DataFrame:
+    """How many tickets are in each state, by the last move of each."""
+    last = moves.groupBy(ticket).agg(F.max_by(state, F.struct(ts, key)).alias("state"))
+    return last.groupBy("state").agg(F.count("*").alias("n"))

@@ -7,12 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.sizes import small
+from inkwell.operators.sizes import numbered, small
 
 # Page length of a history, and rows one call purges.
 PAGE, PURGE, BATCH = 50, 200, 100
-#: Ranges into which a numbering of all rows is cut.
-PARTS = 64
 
 
 def upserted(target: DataFrame, batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -26,21 +24,6 @@ def upserted(target: DataFrame, batch: DataFrame, key: str, order: str | None =
     return kept.unionByName(new.select(*[c for c in new.columns if c in target.columns]), allowMissingColumns=True)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with their place from 0 in a total order, without a window over all rows.
-
-    Rows are cut into PARTS ranges of the first column of the order, a few quantiles say where; what lies ahead of a range is a
-    sum over a few counts, and only places within a range come from sorting it. Rows equal in the first column share a range.
-    """
-    first = F.col(order[0])
-    edges = F.broadcast(rows.agg(F.percentile_approx(first, [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("_edges")))
-    placed = rows.crossJoin(edges).withColumn("_part", F.size(F.filter("_edges", lambda e: e < first))).drop("_edges")
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))  # at most PARTS rows
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn("_in", within).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_part", "_in", "_start")
-
-
 def batches(rows: DataFrame, order: list[str], size: int = BATCH) -> DataFrame:
     """rows with the number of the batch they are sent in."""
     return numbered(rows, order, "_place").withColumn("batch_no", F.floor(F.col("_place") / size).cast("bigint")).drop("_place")
@@ -49,7 +32,7 @@ def batches(rows: DataFrame, order: list[str], size: int = BATCH) -> DataFrame:
 def purged(rows: DataFrame, key: str, created: str, before: Column, most: int = PURGE) -> DataFrame:
     """rows without the oldest `most` of those created before a time."""
     old = rows.where(F.col(created) < before).orderBy(created, key).limit(most).select(key)
-    return rows.join(F.broadcast(old), key, "left_anti")
+    return rows.join(F.broadcast(old), key, "left_anti")  # at most `most` keys
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import metadata as M
 from inkwell.functions import text as T
+from inkwell.operators.sizes import small
 
 # The sites that articles are read from, by language.
 SITES = {
@@ -28,16 +29,14 @@ SITES = {
 
 
 def on_sites(rows: DataFrame, sites: DataFrame, url: str = "url") -> DataFrame:
-    """rows whose host is a listed site or a subdomain of one, with `site`. sites: (site), any number of rows.
+    """rows whose host is a listed site or a subdomain of one, with the longest such site as `site`; repeated rows stay. sites: (site), any number of rows.
 
-    A host's own suffixes are the join keys, so this is an equi-join and not a comparison of every URL with every site.
+    Distinct hosts are cut into their suffixes, which are the keys of an equi-join; rows only meet their host's site.
     """
-    keyed = rows.withColumn("_suffix", F.explode(M.host_suffixes(F.col(url))))
-    listed = sites.select(F.col("site").alias("_suffix")).distinct()
-    found = keyed.join(listed, "_suffix")
-    columns = rows.columns
-    longest = found.withColumnRenamed("_suffix", "site")
-    return longest.select(*columns, "site").dropDuplicates([*columns])
+    hosts = rows.select(M.host(F.col(url)).alias("_host")).where("_host <> ''").distinct()
+    cut = hosts.select("_host", F.explode(M.suffixes(F.col("_host"))).alias("site"))
+    matched = cut.join(small(sites.select("site").distinct()), "site").groupBy("_host").agg(F.max_by("site", F.length("site")).alias("site"))
+    return rows.withColumn("_host", M.host(F.col(url))).join(small(matched), "_host").select(*rows.columns, "site")
 
 
 def articles(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -72,7 +72,7 @@ def vocabulary_topn(spark: SparkSession, d: str) -> DataFrame:
 def noise_report(spark: SparkSession, d: str) -> DataFrame:
     report = corpus.noise_report(table(spark, d, "documents"), _vocabulary(spark, d), ["doc_id"], "text")
     six = [F.round(c, 6).alias(c) for c in ("common_ratio", "unknown_ratio", "fragment_ratio", "junk_per_100")]
-    return report.select("doc_id", *six, "bad_case_words")
+    return report.select("doc_id", *six, "bad_case_words", "repeats")
 
 
 def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -217,6 +217,8 @@ _SENTENCES = _Sql("len(list_filter(regexp_split_to_array(regexp_replace(@, '^" +
 #: A line of a page: RE2 has no look-around, so the neighbours of a word are part of the match.
 _PAGE = "(?i)(?:^|[^\\p{L}\\p{N}_])" + T.PAGE_LINE[T.PAGE_LINE.index("(subscribe") : T.PAGE_LINE.rindex("(?![")].replace("'", "''") + "(?:$|[^\\p{L}\\p{N}_])"
 
+#: Runs of a character four times or more: RE2 has no back-references.
+_REPEATS = "len(list_filter(range(1, len(c) - 2), lambda i: c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] = c[i + 3] AND c[i] <> chr(10) AND (i = 1 OR c[i - 1] <> c[i])))"
 _EN = ", ".join(f"'{w}'" for w in language.ENGLISH)
 _FR = ", ".join(f"'{w}'" for w in language.FRENCH)
 
@@ -234,8 +236,8 @@ WITH v AS ({_VOCAB}), w AS (SELECT doc_id, {_FOLD.format('w')} AS word FROM (SEL
 s AS (SELECT doc_id, count(*) AS n, count(v.word) AS known, count(*) FILTER (v.word IS NULL AND length(w.word) >= 4) AS unknown, count(*) FILTER (v.word IS NULL AND length(w.word) <= 2) AS fragment FROM w LEFT JOIN v USING (word) GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(known / greatest(n, 1), 0), 6) AS common_ratio, round(coalesce(unknown / greatest(n, 1), 0), 6) AS unknown_ratio, round(coalesce(fragment / greatest(n, 1), 0), 6) AS fragment_ratio,
   round(100 * len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}_\s\x0b\x{{a0}}.,;:!?''’"“”«»()\-—–…%$&/]'))::double / greatest(length(text), 1), 6) AS junk_per_100,
-  len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[a-zà-ÿ][A-ZÀ-Ý]')))::bigint AS bad_case_words
-FROM documents d LEFT JOIN s USING (doc_id)""",
+  len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[a-zà-ÿ][A-ZÀ-Ý]')))::bigint AS bad_case_words, {_REPEATS}::bigint AS repeats
+FROM (SELECT *, string_split(text, '') AS c FROM documents) d LEFT JOIN s USING (doc_id)""",
     "language_guess": rf"""
 SELECT doc_id, CASE WHEN n < 8 OR en + fr < 3 THEN NULL WHEN fr > en * 1.3 THEN 'fr' WHEN en > fr * 1.3 THEN 'en' END AS guess FROM (
   SELECT doc_id, len(w) AS n, len(list_filter(p, lambda x: list_contains([{_EN}], x))) AS en,

@@ -46,7 +46,8 @@ def inflight_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ticket_state_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.ticket_states(_events(spark, d))
+    """Each account has one ticket, whose state is its last event's."""
+    return ledger.ticket_states(_events(spark, d), "user_id", "event_type")
 
 
 def refusal_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +83,6 @@ ORACLES = {
     "usage_by_day": "SELECT user_id, ts::date AS day, count(*) AS count FROM events GROUP BY ALL",
     "global_usage": "SELECT day, count, (sum(count) OVER (PARTITION BY date_trunc('month', day) ORDER BY day))::bigint AS month_to_date FROM (SELECT ts::date AS day, count(*) AS count FROM events GROUP BY 1)",
     "inflight_overlap": "SELECT a.event_id AS id, count(b.event_id) AS open_before FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND (b.ts, b.event_id) < (a.ts, a.event_id) AND b.ts + INTERVAL 12 HOUR > a.ts GROUP BY 1",
-    "ticket_state_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "ticket_state_counts": "SELECT state, count(*) AS n FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1) GROUP BY 1",
     "refusal_codes": "SELECT event_id, (['too_many_requests', 'quota_exceeded', 'global_quota_exceeded', 'global_quota_exceeded', 'unauthorized', 'unauthorized', 'server_error', 'server_error'])[(event_id % 8 + 1)::int] AS code, ([429, 429, 429, 429, 401, 401, 500, 500])[(event_id % 8 + 1)::int] AS status FROM events",
 }
