@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,9 +24,11 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def similarity_to(a: Column, query: Sequence[float]) -> Column:
-    """similarity to a fixed vector, whose norm is folded into the plan."""
-    fixed = F.array(*[F.lit(float(x)) for x in query])
-    return F.try_divide(dot(a, fixed), norm(a) * F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
+    """similarity to a fixed vector of the same length, whose norm is folded into the plan; sums are written out, so that they are compiled."""
+    values = [F.get(a, F.lit(i)).cast("double") for i in range(len(query))]
+    total = lambda terms: reduce(lambda s, x: s + x, terms, F.lit(0.0))
+    dot_, square = total(v * float(x) for v, x in zip(values, query, strict=True)), total(v * v for v in values)
+    return F.try_divide(dot_, F.sqrt(square) * F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
 
 
 def literal(v: Column) -> Column:

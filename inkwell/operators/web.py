@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import metadata as M
@@ -45,5 +45,9 @@ def articles(pages: DataFrame, html: str = "html") -> DataFrame:
     return body.withColumn("n_words", T.word_count(F.col("body")))
 
 
-def usable(rows: DataFrame, least: int = M.MIN_ARTICLE_WORDS, most: int = M.MAX_ARTICLE_WORDS) -> DataFrame:
-    return rows.where(F.col("n_words").between(least, most))
+def is_usable(least: int = M.MIN_ARTICLE_WORDS, most: int = M.MAX_ARTICLE_WORDS) -> Column:
+    return F.col("n_words").between(least, most)
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    return rows.where(is_usable())

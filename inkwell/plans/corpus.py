@@ -238,6 +238,23 @@ SELECT d.doc_id, round(coalesce(known / greatest(n, 1), 0), 6) AS common_ratio,
   round(100 * len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}_\s\x0b\x{{a0}}.,;:!?''’"“”«»()\-—–…%$&/]'))::double / greatest(length(text), 1), 6) AS junk_per_100,
   len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[a-zà-ÿ][A-ZÀ-Ý]')))::bigint AS bad_case_words, {_REPEATS}::bigint AS repeats
 FROM (SELECT *, string_split(text, '') AS c FROM documents) d LEFT JOIN s USING (doc_id)""",
+    "reject_reasons": rf"""
+WITH p AS ({_WINDOWS}), v AS ({_VOCAB}),
+w AS (SELECT doc_id, passage_no, {_FOLD.format('w')} AS word FROM (SELECT doc_id, passage_no, unnest({_WORDS.format('passage')}) AS w FROM p)),
+s AS (SELECT doc_id, passage_no, count(*) AS n, count(v.word) AS known, count(*) FILTER (v.word IS NULL AND length(w.word) >= 4) AS unknown, count(*) FILTER (v.word IS NULL AND length(w.word) <= 2) AS fragment FROM w LEFT JOIN v USING (word) GROUP BY ALL),
+m AS (SELECT p.*, string_split(passage, '') AS c, len(regexp_extract_all(passage, '\p{{L}}')) AS letters, len(regexp_extract_all(passage, '\p{{Lu}}')) AS capitals, len({_WORDS.format('passage')}) AS n_wordlike, {_SENTENCES.format('passage')} AS parts,
+  coalesce(known / greatest(n, 1), 0) AS common_ratio, coalesce(unknown / greatest(n, 1), 0) AS unknown_ratio, coalesce(fragment / greatest(n, 1), 0) AS fragment_ratio FROM p LEFT JOIN s USING (doc_id, passage_no)),
+r AS (SELECT lang, CASE
+  WHEN regexp_matches(passage, 'https?://|www\.|@[\p{{L}}\p{{N}}_]+\.') OR regexp_matches(passage, '[_\[\]{{}}*^]|(?:^|[^\p{{L}}\p{{N}}_])[A-ZÀ-Ý]{{4,}}(?:$|[^\p{{L}}\p{{N}}_])')
+    OR regexp_matches(passage, '(?i)^(chapter|book|part|volume|livre|chapitre|partie|tome|section)(?:$|[^\p{{L}}\p{{N}}_])') OR letters::double / greatest(length(passage), 1) < 0.78 OR capitals::double / greatest(letters, 1) > 0.12
+    OR NOT regexp_matches(passage, '[.!?…"”»’]$') OR len(regexp_extract_all(passage, '["“«—]'))::double / greatest(n_words, 1) >= 0.06 THEN 'not prose'
+  WHEN parts < 2 OR n_wordlike < parts * 6 OR n_wordlike > parts * 45 OR len(regexp_extract_all(passage, '\p{{Nd}}'))::double / greatest(length(passage), 1) > 0.02
+    OR len(list_filter(list_slice({_TOKENS.format('passage')}, 2, n_words), lambda t: regexp_matches(t, '^\p{{Lu}}')))::double / greatest(n_words - 1, 1) > 0.30 THEN 'list or table'
+  WHEN len(regexp_extract_all(passage, '{T.STRANGE_ACCENT}')) >= 2 THEN 'misread letters'
+  WHEN common_ratio < 0.35 OR unknown_ratio > 0.10 OR fragment_ratio > 0.22 OR 100 * len(regexp_extract_all(passage, '[^\p{{L}}\p{{N}}_\s\x0b\x{{a0}}.,;:!?''’"“”«»()\-—–…%$&/]'))::double / greatest(length(passage), 1) > 1.5
+    OR len(list_filter(regexp_extract_all(passage, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[a-zà-ÿ][A-ZÀ-Ý]'))) > 0 OR {_REPEATS} > 0 THEN 'ocr noise'
+  ELSE 'kept' END AS reason FROM m)
+SELECT lang, reason, count(*) AS n FROM r GROUP BY ALL""",
     "language_guess": rf"""
 SELECT doc_id, CASE WHEN n < 8 OR en + fr < 3 THEN NULL WHEN fr > en * 1.3 THEN 'fr' WHEN en > fr * 1.3 THEN 'en' END AS guess FROM (
   SELECT doc_id, len(w) AS n, len(list_filter(p, lambda x: list_contains([{_EN}], x))) AS en,

@@ -113,7 +113,7 @@ def allowed_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def article_clean(spark: SparkSession, d: str) -> DataFrame:
     made = web.articles(table(spark, d, "pages").select("page_id", "html"))
-    return web.usable(made, 20, 6000).select("page_id", F.col("n_words").cast("bigint"), F.length("body").cast("bigint").alias("n_chars"))
+    return made.select("page_id", F.col("n_words").cast("bigint"), F.md5(F.col("body").cast("binary")).alias("body_md5"), web.is_usable().alias("usable"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -121,7 +121,23 @@ QUERIES = {f.__name__: f for f in (
     area_status_pivot, first_seen_issues, paired_comparison, detector_auroc, host_domains, listed_sites, allowed_pages, article_clean,
 )}
 
+def _article_sql() -> str:
+    """DuckDB: a page's text, by the same steps in RE2, and the article's lines."""
+    from inkwell.plans.corpus import _PAGE, _TOKENS, _WS
+
+    block = "p|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|br"
+    text = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script(?:\\s[^>]*)?>.*?</script>|<style(?:\\s[^>]*)?>.*?</style>|<head(?:\\s[^>]*)?>.*?</head>|<!--.*?-->', '', 'g'), '(?i)<(?:/?(?:{block})(?:\\s[^>]*)?/?)>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for entity, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{entity}', {char})"
+    return f"""
+WITH l AS (SELECT page_id, list_filter(list_transform(string_split(replace({text}, chr(13), ''), chr(10)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') AS lines FROM pages),
+f AS (SELECT page_id, lines, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '(?i)^(related|read more|more from|you may also|lire aussi|à lire aussi)')), true), len(lines) + 1) AS foot FROM l),
+b AS (SELECT page_id, array_to_string(list_filter(list_slice(lines, 1, foot - 1), lambda x: len({_TOKENS.format('x')}) >= {T.PAGE_LINE_WORDS} OR NOT regexp_matches(x, '{_PAGE}')), chr(10) || chr(10)) AS body FROM f)
+SELECT page_id, len({_TOKENS.format('body')})::bigint AS n_words, md5(body) AS body_md5, len({_TOKENS.format('body')}) BETWEEN {M.MIN_ARTICLE_WORDS} AND {M.MAX_ARTICLE_WORDS} AS usable FROM b"""
+
+
 ORACLES = {
+    "article_clean": _article_sql(),
     "history_newest": "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations WHERE role = 'user' QUALIFY place <= 2",
     "history_search": "SELECT conv_id, turn FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) WHERE contains(lower(text), 'the')",
     "history_owned": "SELECT event_id, event_type FROM events WHERE user_id = 7",
