@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import metadata as M
 from inkwell.functions import text as T
+from inkwell.operators.sizes import numbered
 
 PASSAGE = "id string, gutenberg_id int, position int, author string, title string, lang string, kind string, n_words int, text string, source string, collection string, year int, sha256 string"
 
@@ -28,16 +32,20 @@ def books(spark: SparkSession, folder: str, ids: DataFrame | None = None) -> Dat
     found = read.where("name <> ''").select(F.col("name").cast("int").alias("id"), "text")
     if ids is None:
         return found
-    missing = F.raise_error(F.concat(F.lit("no file for book "), F.col("id").cast("string"))).cast("string")
-    return found.join(ids.select("id"), "id", "right").withColumn("text", F.coalesce("text", missing))
+    missing = ids.select("id").join(found.select("id"), "id", "left_anti").limit(1).collect()
+    if missing:
+        raise FileNotFoundError(f"no file for book {missing[0]['id']}")
+    return found.join(ids.select("id"), "id")
 
 
 def articles(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(id, url, text, year) of newline JSON, gzipped or not. `limit` counts rows read, in the order of file and row, before any filter."""
-    rows = spark.read.schema("url string, text string, timestamp string").json(path).select("*", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).alias("_shard"))
-    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
-    kept = numbered.orderBy("_at").limit(limit) if limit is not None else numbered
-    return kept.select(F.concat_ws("-", F.lit("c4"), "_shard", F.col("_at").cast("string")).alias("id"), "url", "text", F.expr("try_cast(substring(timestamp, 1, 4) as int)").alias("year"))
+    rows = spark.read.schema("url string, text string, timestamp string").json(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    # a row's number in its file, from 0, whatever parts the file is read in: parts in their order, rows of a part in theirs
+    placed = numbered(rows.withColumn("_at", F.monotonically_increasing_id()), ["_block", "_at"], "_row", ["_file"])
+    kept = placed if limit is None else placed.where(F.col("_row") < limit).orderBy("_file", "_row").limit(limit)
+    shard = F.regexp_extract("_file", r"(\d+)", 1)
+    return kept.select(F.concat_ws("-", F.lit("c4"), shard, F.col("_row").cast("string")).alias("id"), "url", "text", F.expr("try_cast(substring(timestamp, 1, 4) as int)").alias("year"))
 
 
 def evenly(names: Sequence[str], n: int) -> list[str]:
@@ -55,12 +63,46 @@ def crawl(spark: SparkSession, paths: Sequence[str], sites: DataFrame | None = N
     return rows if sites is None else on_sites(rows, sites)
 
 
+def there(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of the paths that exist, with a warning for each of the others; an error where none does."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(p))]
+    for path in paths:
+        if path not in found:
+            warnings.warn(f"no file at {path}", stacklevel=2)
+    if not found:
+        raise FileNotFoundError("none of the files is there")
+    return found
+
+
 def passages(spark: SparkSession, *paths: str) -> DataFrame:
-    """Passage files (JSON Lines) as one table; fields that a file lacks are null, but for the source, which has a default."""
-    rows = spark.read.schema(PASSAGE).json(list(paths)).where("id is not null")
+    """Passage files (JSON Lines) as one table; fields that a file lacks are null, but for the source, which has a default. Missing files are warned of."""
+    rows = spark.read.schema(PASSAGE).json(there(spark, paths)).where("id is not null")
     return rows.withColumn("source", F.coalesce("source", F.lit("gutenberg")))
 
 
+def texts_with_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, locale, text, facts) of a JSON document that holds an array of texts, each with an array of facts."""
+    whole = spark.read.schema("note string, texts array<struct<id:string,locale:string,text:string,facts:array<string>>>").option("multiLine", True).json(path)
+    return whole.select(F.explode("texts").alias("t")).select("t.*")
+
+
+def embedder(spark: SparkSession, table: str, scales: str, dim: int, checksums: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """(token_id, codes, scale) of an embedder's two binary files: a signed byte for each dimension, and a little-endian float32 a row."""
+    both = artifact(spark, table, checksums[0]).select(F.col("content").alias("codes")).crossJoin(artifact(spark, scales, checksums[1]).select(F.col("content").alias("scales")))
+
+    def run(batches):
+        for batch in batches:
+            for codes, scale in zip(batch["codes"], batch["scales"], strict=True):
+                rows, steps = np.frombuffer(codes, np.int8).reshape(-1, dim), np.frombuffer(scale, "<f4")
+                if len(rows) != len(steps):
+                    raise ValueError("as many scales as rows are wanted")
+                for at in range(0, len(rows), 10_000):
+                    yield pd.DataFrame({"token_id": range(at, min(at + 10_000, len(rows))), "codes": list(rows[at : at + 10_000]), "scale": steps[at : at + 10_000].astype(float)})
+
+    return both.mapInPandas(run, "token_id bigint, codes array<tinyint>, scale double")
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(T.tokens(F.col("value"))).alias("word")).distinct()
 

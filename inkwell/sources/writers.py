@@ -27,6 +27,17 @@ def quantized(rows: DataFrame, path: str) -> DataFrame:
     return back.agg(F.count("*").alias("rows"), F.bit_xor(each).alias("checksum"))
 
 
+def embedder(rows: DataFrame, tokenizer: str, folder: str) -> DataFrame:
+    """An embedder's artifacts: codes and scales by token, the tokenizer's text, and (name, rows, checksum) of both as the manifest."""
+    spark = rows.sparkSession
+    table = quantized(rows, f"{folder}/table").withColumn("name", F.lit("table"))
+    spark.createDataFrame([(tokenizer,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/tokenizer")
+    text = spark.createDataFrame([("tokenizer", 1, tokenizer)], "name string, rows bigint, t string").select("name", "rows", F.sha2("t", 256).alias("checksum"))
+    manifest = table.select("name", "rows", F.col("checksum").cast("string").alias("checksum")).unionByName(text)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return manifest
+
+
 def event_line(kind: Column, payload: Column) -> Column:
     """One event of a stream as a line of JSON; `type` comes first, empty fields are left out."""
     return F.to_json(F.struct(kind.alias("type"), payload.alias("payload")))

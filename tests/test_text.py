@@ -25,13 +25,13 @@ def test_clean_book(spark):
 
 def test_split_long_is_lossless(spark):
     text = " ".join(["One two three four five six seven eight nine ten."] * 30)
-    pieces = one(spark, lambda t: T.split_long(t, 60), text)
+    pieces = [p["passage"] for p in one(spark, lambda t: T.split_long(t, 60), text)]
     assert len(pieces) > 1 and all(len(p.split()) <= 60 for p in pieces) and " ".join(pieces) == text
 
 
 def test_a_longer_sentence_stays_whole(spark):
     text = "word " * 80 + "end. Next one."
-    assert [len(p.split()) for p in one(spark, lambda t: T.split_long(t, 60), text)] == [81, 2]
+    assert [(len(p["passage"].split()), p["n_words"]) for p in one(spark, lambda t: T.split_long(t, 60), text)] == [(81, 81), (2, 2)]
 
 
 @pytest.mark.parametrize("text", ["CHAPTER I", "See https://x.org for more.", "1. 2. 3. 4. 5.", "“Yes.” “No.” “Why?”", "Some text without an end", "The SHOUTED words are no prose."])
