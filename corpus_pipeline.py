@@ -1,6 +1,10 @@
 """The training-data pipeline: from `documents` to token counts and digests of a clean, deduplicated, mixed corpus.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of documents.
+
+Defined results: null, empty and blank texts fail the base rules and go; of rows with equal words one stays, the one with the
+smallest id; ties and repeated rows are settled by the stages' own rules; an empty table gives an empty result; further columns
+travel along to the last stage, which returns its own. The table that a stage wrote is deleted when the next one's is there.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir; what a stage returns is written to the shared folder for the next."""
-    docs = base.read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = base.stored(docs, f"stage-{name}")
-    return docs
+    docs, before = base.read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = base.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            base.deleted(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
