@@ -229,10 +229,11 @@ def _star_links(sets: DataFrame) -> DataFrame:
     keyed = base.stored(signed.select("cls", "n", "centre", "sign", F.posexplode("sign").alias("k", "key")), "keys")
     of = F.struct(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b"))
     first = keyed.groupBy("k", "key").agg(F.max_by(of, F.struct("centre", "cls")).alias("of"), F.count("*").alias("held")).where("held > 1").select("k", "key", "of.*")
+    first = base.stored(first, "centres")  # so that a min-hash that many classes share is split, or its centre broadcast
     agree = F.size(F.filter(F.zip_with("sign", "sign_b", lambda x, y: x == y), lambda x: x))
     near = (F.col("cls") != F.col("b")) & _sized(F.col("n"), F.col("n_b")) & (agree >= min(AGREE, KEYS))
-    links = _compared(keyed.join(first, ["k", "key"]).where(near).select(F.col("cls").alias("a"), "b").distinct(), sets)
-    base.deleted(keyed)
+    links = _compared(keyed.join(base.bounded(first), ["k", "key"]).where(near).select(F.col("cls").alias("a"), "b").distinct(), sets)
+    base.deleted(keyed, first)
     return links
 
 

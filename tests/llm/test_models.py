@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,23 +105,52 @@ def test_toxic_words_are_found_among_unlabelled_ones():
     assert np.mean([score(r) for r in mixed[::10]]) > np.mean([score(r) for r in mixed[1::10]]) + 2
 
 
+def _library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(op3_bpe.default_path())
+
+
 def test_stages(spark):
-    """The pipeline's result is what each stage by itself, or brute force for the last three, makes of its input."""
+    """The pipeline's rows: scores and rules by the registered queries, near copies by all pairs, every token by the library; nothing else is lost."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: tuple(r)[1:] for r in corpus_pipeline.run(spark, SF).collect()}
-    good = op8_quality.stage(spark, docs, SF)
-    scores = {r["doc_id"]: r["predicted"] for r in op8_quality.query(spark, SF).collect()}
-    texts = {r["doc_id"]: r["text"] for r in good.collect()}
-    assert set(texts) == {k for k, v in scores.items() if v == 1}
-    kept = {r["doc_id"] for r in op5_quality_rules.stage(spark, good, SF).collect()}
-    ids = sorted(kept)
-    joined = {r["doc_id"]: r["component_id"] for r in op4_jaccard.join(good.where(good["doc_id"].isin(ids))).collect()}
-    left = [k for k in ids if joined[k] == k]
-    assert sorted(got) == left
-    model = op3_bpe.codec(op3_bpe.default_path())
-    for k in left[::25]:
-        ids = model.text(texts[k])
-        assert got[k][:2] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = {r["doc_id"] for r in op8_quality.query(spark, SF).collect() if r["predicted"] == 1}
+    kept = sorted(r["doc_id"] for r in op5_quality_rules.query(spark, SF).collect() if r["kept"] and r["doc_id"] in good)
+    _, roots = _components([texts[k] for k in kept])
+    left = {k for i, k in enumerate(kept) if roots[i] == i}
+    assert set(got) == left and len(left) < len(kept)
+    library = _library()
+    for k in left:
+        ids = library.encode(texts[k], add_special_tokens=False).ids
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert got[k] == (len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and blank texts, repeated rows, rows without ids and clashing columns pass each stage by its own rules."""
+    docs = table(spark, [*ODD, ODD[4], ODD[4]], [*range(len(ODD) - 1), None, 4, 4])
+    rows = sorted(map(str, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        found = sorted(map(str, out.collect()))
+        assert out.columns == docs.columns and not Counter(found) - Counter(rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name == "mixing":
+            assert found == rows
+        if name == "quality_classifier":  # equal texts share their fate
+            assert sum("The same text" in r for r in found) in (0, 4)
+        if name == "jaccard_join":
+            assert sum("The same text" in r for r in found) == 1
+    encoded = op3_bpe.stage(spark, docs, SF).collect()
+    assert len(encoded) == len(rows) and {r["n_tokens"] for r in encoded if r["doc_id"] in (0, 1)} == {0}
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_stage_names_and_columns(spark):
