@@ -18,7 +18,8 @@ HEADING = r"(?i)^(chapter|book|part|volume|livre|chapitre|partie|tome|section)(?
 LINK = r"https?://|www\.|@[\p{L}\p{N}_]+\."
 MARKUP = r"[_\[\]{}*^]|(?<![\p{L}\p{N}_])[A-ZÀ-Ý]{4,}(?![\p{L}\p{N}_])"
 JUNK = r"""[^\p{L}\p{N}_\s\x{A0}.,;:!?'’"“”«»()\-—–…%$&/]"""
-ODD_CASE = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]*[a-zà-ÿ][A-ZÀ-Ý][\p{L}\p{N}_]*(?![\p{L}\p{N}_])"
+#: A word with a capital after a small letter; what is read is never given back, so a long word costs its length.
+ODD_CASE = r"(?<![\p{L}\p{N}_])(?:[a-zà-ÿ](?![A-ZÀ-Ý])|[\p{L}\p{N}_&&[^a-zà-ÿ]])*+[a-zà-ÿ][A-ZÀ-Ý][\p{L}\p{N}_]*+"
 SAME_FOUR = r"(.)\1{3,}"
 SENTENCE_TAIL = r"""[.!?…]+["”»’)]*(?U:\s+)"""
 STRANGE_ACCENT = r"[áíóúñãõýåøščřž]"

@@ -124,9 +124,14 @@ def applied(texts: DataFrame, kept: DataFrame, key: str = "attempt_id", text: st
     return joined.withColumn("result", F.coalesce(result, whole)).drop("_edits")
 
 
-def reopenable(rows: DataFrame, text: str = "text", edits: str = "edits") -> Column:
-    """Whether every stored edit (start, end, original) still names what stands in the text."""
-    return F.forall(F.col(edits), lambda e: (e["start"] >= 0) & (e["end"] >= e["start"]) & (F.substring(F.col(text), e["start"] + 1, e["end"] - e["start"]) == e["original"]))
+# Fixed value: seconds after which a stored result is not opened again.
+MAX_AGE = 60
+
+
+def reopenable(rows: DataFrame, text: str = "text", edits: str = "edits", age: str | None = None) -> Column:
+    """Whether a stored result is young enough (`age` in seconds) and every edit (start, end, original) still names what stands in the text."""
+    young = F.lit(True) if age is None else F.coalesce(F.col(age).between(0, MAX_AGE), F.lit(False))
+    return young & F.forall(F.col(edits), lambda e: (e["start"] >= 0) & (e["end"] >= e["start"]) & (F.substring(F.col(text), e["start"] + 1, e["end"] - e["start"]) == e["original"]))
 
 
 def next_pending(edits: DataFrame, key: str = "attempt_id") -> DataFrame:

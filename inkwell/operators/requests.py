@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What a request may ask for, its limits, blocks that data must not close, and words that switch references off.
 LOCALES, STRENGTHS, STANDARD = ("en", "fr"), ("light", "standard", "thorough"), "standard"
@@ -18,6 +22,12 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Text in Unicode's composed form (NFC), as a page sends what was typed."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
 

@@ -76,6 +76,18 @@ def paired(ratings: DataFrame, pair: str, condition: str, score: str, errors: st
     return summed.withColumn("decision", rule)
 
 
+def blinded(pairs: DataFrame, pair: str, first: str, second: str, seed: str = "0") -> DataFrame:
+    """pairs with their two versions as `x` and `y` in an order that a hash of seed and pair decides, and `swapped`, which a rater does not see."""
+    swapped = F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col(pair).cast("string")).cast("binary")), 1, 1) >= "8"
+    marked = pairs.withColumn("swapped", swapped)
+    return marked.withColumn("x", F.when(F.col("swapped"), F.col(second)).otherwise(F.col(first))).withColumn("y", F.when(F.col("swapped"), F.col(first)).otherwise(F.col(second)))
+
+
+def unblinded(ratings: DataFrame, x: str = "score_x", y: str = "score_y") -> DataFrame:
+    """ratings of `x` and `y`, with `swapped`, as the scores of the first and the second version."""
+    return ratings.withColumn("score_first", F.when(F.col("swapped"), F.col(y)).otherwise(F.col(x))).withColumn("score_second", F.when(F.col("swapped"), F.col(x)).otherwise(F.col(y)))
+
+
 def auroc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: the area under the ROC curve, ties counted half, from counts by distinct score and running sums in ranges."""
     by = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(positive).cast("bigint")).alias("p"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("p"))

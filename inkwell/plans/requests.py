@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import corpus, edits, requests, tables
+from inkwell.operators import corpus, edits, requests, stats, tables
+from inkwell.sources import books
 from inkwell.sources.tables import table
 
 STRENGTHS = ("light", "standard", "thorough", "extreme")
@@ -86,7 +87,27 @@ def credits(spark: SparkSession, d: str) -> DataFrame:
     return corpus.credits(table(spark, d, "documents").select(F.col("source").alias("author"), F.col("lang").alias("title"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (requests_valid, user_messages, references_setting, facts_stated, history_append, bulk_closed, newest_days, interleaved_caps, passage_rows, credits)}
+def curated_list(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose number is that of a curated book, with its language and kind."""
+    listed = books.curated(spark).withColumn("o_orderkey", F.col("id").cast("bigint"))
+    return table(spark, d, "orders").join(F.broadcast(listed), "o_orderkey").select("o_orderkey", "lang", "kind")
+
+
+def blind_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The first two turns of each conversation as a blind pair, rated by their lengths, and read back."""
+    turns = table(spark, d, "conversations").where("turn < 2")  # the pair is the first two turns
+    pairs = turns.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.length("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.length("text"))).alias("b"))
+    rated = stats.blinded(pairs, "conv_id", "a", "b", "s").withColumn("score_x", F.col("x") + 1).withColumn("score_y", F.col("y") + 1)
+    return stats.unblinded(rated).select("conv_id", "swapped", F.col("x").cast("bigint").alias("x"), F.col("score_first").cast("bigint").alias("score_first"), F.col("score_second").cast("bigint").alias("score_second"))
+
+
+def composed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their accents taken apart and composed again."""
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return table(spark, d, "documents").select("doc_id", F.md5(requests.composed(apart).cast("binary")).alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (curated_list, blind_pairs, composed_texts, requests_valid, user_messages, references_setting, facts_stated, history_append, bulk_closed, newest_days, interleaved_caps, passage_rows, credits)}
 
 
 def _oracles() -> dict[str, str]:
@@ -111,7 +132,12 @@ f{i} AS (SELECT lang, coalesce(min(pos) FILTER (r = 200), (9223372036854775807,
   UNION ALL SELECT lang, until FROM f{i - 1} WHERE lang NOT IN (SELECT lang FROM k{i}))"""
         for i in range(1, 7)
     ]
+    listed = ", ".join(f"({i}, '{lang}', '{kind}')" for lang, kind, ids in (("en", "fiction", books.FICTION_EN), ("en", "essay", books.ESSAY_EN), ("fr", "fiction", books.FICTION_FR), ("fr", "essay", books.ESSAY_FR)) for i in ids)
     return {
+        "curated_list": f"SELECT o_orderkey, l.lang, l.kind FROM orders JOIN (VALUES {listed}) l(id, lang, kind) ON l.id = o_orderkey",
+        "blind_pairs": """SELECT conv_id, swapped, CASE WHEN swapped THEN b ELSE a END AS x, a + 1 AS score_first, b + 1 AS score_second FROM (
+  SELECT conv_id, substr(md5('s-' || conv_id), 1, 1) >= '8' AS swapped, max(length(text)) FILTER (turn = 0) AS a, max(length(text)) FILTER (turn = 1) AS b FROM conversations WHERE turn < 2 GROUP BY 1)""",
+        "composed_texts": "SELECT doc_id, md5(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)))) AS text_md5 FROM documents",
         "requests_valid": f"""SELECT doc_id, coalesce(locale, 'en') AS locale, coalesce(strength, 'standard') AS strength,
   coalesce(locale, 'en') IN ('en', 'fr') AND coalesce(strength, 'standard') IN ('light', 'standard', 'thorough') AND coalesce({units.format("voice")}, 0) <= 1500
   AND {units.format("text")} <= 5000 AND regexp_replace(text, '{space}+', '', 'g') <> '' AS accepted FROM ({asked})""",
