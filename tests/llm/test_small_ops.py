@@ -451,3 +451,15 @@ def test_stored_tables_can_be_released(spark):
     base.released(spark, df)
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    for master, kept in (("spark://a:7077", None), ("local-cluster[2,1,1024]", None), ("yarn", "hdfs://a/b/")):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default, kept=kept: kept), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        if kept:
+            assert base.shared_dir(session) == "hdfs://a/b"
+        else:
+            with pytest.raises(ValueError):
+                base.shared_dir(session)
