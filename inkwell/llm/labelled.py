@@ -46,9 +46,15 @@ def sampled(docs: DataFrame, chosen: DataFrame, families: tuple[str, ...]) -> Da
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.ListArray.from_arrays(ends, np.concatenate([*found, np.empty(0, np.int32)]))], names=["doc_id", "grp", "found"])
 
-    once = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    chosen = base.stored(chosen, "chosen")
+    ids = F.broadcast(chosen.select("doc_id").distinct())
+    once = docs.select("doc_id", "text").join(ids, "doc_id")
+    if docs.select("doc_id").join(ids, "doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        once = once.groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = once.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("grp").cast("int"), "text")
-    return base.stored(rows.mapInArrow(run, "doc_id bigint, grp int, found array<int>"), "sample")
+    table = base.stored(rows.mapInArrow(run, "doc_id bigint, grp int, found array<int>"), "sample")
+    base.deleted(chosen)
+    return table
 
 
 def gathered(sample: DataFrame, most: int) -> list[tuple[int, np.ndarray]]:
