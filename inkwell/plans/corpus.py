@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from inkwell.functions import language, metadata
 from inkwell.functions import text as T
 from inkwell.operators import corpus
-from inkwell.sources.tables import table
+from inkwell.sources.tables import spread, table
 
 #: The test documents have single line ends between paragraphs.
 LINE = "\n"
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def _passages(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.passages(table(spark, d, "documents"), separator=LINE)
+    return corpus.passages(_documents(spark, d), separator=LINE)
 
 
 def passage_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +53,7 @@ def site_caps(spark: SparkSession, d: str) -> DataFrame:
 
 def prose_metrics(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return _documents(spark, d).select(
         "doc_id",
         T.word_count(t).cast("bigint").alias("n_words"),
         T.letters(t).cast("bigint").alias("n_letters"),
@@ -61,7 +65,7 @@ def prose_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    good = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    good = _documents(spark, d).join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     return corpus.vocabulary(good, top=2000, least=3)
 
 
@@ -70,7 +74,7 @@ def vocabulary_topn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise_report(spark: SparkSession, d: str) -> DataFrame:
-    report = corpus.noise_report(table(spark, d, "documents"), _vocabulary(spark, d), ["doc_id"], "text")
+    report = corpus.noise_report(_documents(spark, d), _vocabulary(spark, d), ["doc_id"], "text")
     six = [F.round(c, 6).alias(c) for c in ("common_ratio", "unknown_ratio", "fragment_ratio", "junk_per_100")]
     return report.select("doc_id", *six, "bad_case_words", "repeats")
 
@@ -84,7 +88,7 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def language_guess(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", language.guess(F.col("text")).alias("guess"))
+    return _documents(spark, d).select("doc_id", language.guess(F.col("text")).alias("guess"))
 
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -92,15 +96,15 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_trim(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.edge_trimmed(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("block_no").cast("bigint"), F.length("block").cast("bigint").alias("n_chars"))
+    return corpus.edge_trimmed(_documents(spark, d), "doc_id").select("doc_id", F.col("block_no").cast("bigint"), F.length("block").cast("bigint").alias("n_chars"))
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.signature(F.col("text")).alias("signature"))
+    return _documents(spark, d).select("doc_id", T.signature(F.col("text")).alias("signature"))
 
 
 def folded_words(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("w"))
+    words = _documents(spark, d).select(F.explode(T.words(F.col("text"))).alias("w"))
     return words.groupBy(T.fold(F.col("w")).alias("word")).agg(F.count("*").alias("n"))
 
 
