@@ -1,4 +1,4 @@
-"""Every query that has SQL gives the same rows as DuckDB; every other one runs."""
+"""Every query that has SQL gives the same rows as DuckDB."""
 
 from __future__ import annotations
 
@@ -16,11 +16,9 @@ def test_same_rows(name, spark, sf, oracle):
     assert rows_of(df.columns, df.collect()) == rows_of(list(columns), rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_runs(name, spark, sf):
-    df = catalog.QUERIES[name](spark, sf)
-    assert len(df.collect()) >= 0
-    assert len(set(df.columns)) == len(df.columns)
+def test_the_only_query_without_sql_is_compared_elsewhere():
+    """tests/test_ledger.py replays it by brute force."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"ledger_stateful"}
 
 
 def test_every_oracle_has_a_query():
