@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,13 +33,20 @@ def similarity_to(a: Column, query: Sequence[float]) -> Column:
     return F.try_divide(dot_, F.sqrt(square) * F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
 
 
-def literal(v: Column) -> Column:
-    """A vector as text with six decimals, as a vector database reads it."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+@F.arrow_udf(T.StringType())
+def literal(v: pa.Array) -> pa.Array:
+    """A vector as text with six decimals, as a vector database reads it; a number that is null is left out.
+
+    Rounded as C's printf does: by the exact value, halves to even digits. The JVM's format rounds halves away from zero and fills
+    large numbers up with zeros.
+    """
+    numbers = [None if row is None else tuple(x for x in row if x is not None) for row in v.to_pylist()]
+    return pa.array([None if row is None else f"[{','.join(['%.6f'] * len(row))}]" % row for row in numbers], pa.string())
 
 
 def from_literal(s: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(s, r"^\s*\[|\]\s*$", ""), ","), lambda x: x.cast("float"))
+    numbers = F.transform(F.split(F.regexp_replace(s, r"^\s*\[|\]\s*$", ""), ","), lambda x: x.cast("float"))
+    return F.when(s.rlike(r"^\s*\[\s*\]\s*$"), F.array().cast("array<float>")).otherwise(numbers)
 
 
 def quantized(v: Column) -> Column:

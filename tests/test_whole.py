@@ -79,3 +79,13 @@ def test_whole_vectors_words_and_query_sets(spark, tmp_path):
     assert {r["query_id"] for r in retrieval.topk_each_query(spark, d).collect()} == {0, 20, 40, 60}
     assert {(r["id"], r["literal"], r["n"]) for r in retrieval.vector_literals(spark, d).collect()} == {(i, "[" + ",".join(f"{x:.6f}" for x in [i + 1, *[k / 8 for k in range(63)]]) + "]", 64) for i in range(61)}
     assert {tuple(r) for r in corpus.folded_words(spark, d).collect()} == {("deja", 2), ("vu", 1), ("naivete", 1)}
+
+
+def test_vector_literals_round_as_sql_does(spark, tmp_path, oracle):
+    tie = 1 / 128  # 0.0078125: halves go to the even digit
+    rows = [(1, [tie, 3 * tie, -9 * tie, 1.5, -1e-9, -0.0]), (2, [1e30, -3.4e38, 16777216.0, 1e-45]), (3, [float("nan"), float("inf"), float("-inf")]), (4, []), (5, None)]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    next(tmp_path.glob("rows/*.parquet")).rename(tmp_path / "embeddings.parquet")
+    found = {r["id"]: (r["literal"], r["n"]) for r in retrieval.vector_literals(spark, str(tmp_path)).collect()}
+    assert found[1] == ("[0.007812,0.023438,-0.070312,1.500000,-0.000000,-0.000000]", 6)
+    assert found == {i: (text, n) for i, text, n in oracle(retrieval.ORACLES["vector_literals"], str(tmp_path))[1]}
