@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import edits
-from inkwell.sources.tables import table
+from inkwell.sources.tables import spread, table
 from inkwell.streaming import chunks, counts
 
 #: The kinds of edits that `proposed` makes of a customer, and what becomes of each.
@@ -48,7 +48,7 @@ def _bills(spark: SparkSession, d: str) -> DataFrame:
     whole = F.floor("o_totalprice").cast("bigint")
     price = F.concat_ws("", F.regexp_replace(F.format_number(whole, 0), ",", "\u00a0"), F.lit(",5"))
     text = F.concat(F.lit("Le "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(": "), price, F.lit(" € payés, "), F.pmod("o_orderkey", F.lit(90)) + 10, F.lit(" pour cent de "), F.col("o_custkey") + 2500, F.lit(" million de dollars par mois"))
-    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", text.alias("text"))
 
 
 def figures_extract(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+import regex
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -34,6 +35,15 @@ def test_figures_are_where_they_say(text):
     assert figures.same_numbers(text, text) and units.same_units(text, text)
 
 
+def test_no_pattern_is_looked_up_for_a_figure(monkeypatch):
+    """A call of the module takes longer than the match itself, at several calls a figure."""
+    for name in ("search", "match", "fullmatch", "split", "sub"):
+        monkeypatch.setattr(regex, name, lambda *a, **b: pytest.fail("a pattern that is not compiled"))
+    text = "En 1999, 1 200,5 € payés, 12/03, $40 million, 5 US$ et 2500 million de dollars par mois"
+    read = [units.read_figure(text, f) for f in figures.figures_in(text)]
+    assert [r.scale for r in read] == ["", "", "", "million", "", "million"] and [r.units for r in read][3:] == [("dollar",), ("dollar",), ("dollar", "/month")]
+
+
 def test_forty_edits_are_kept():
     words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(45)]
     reasons = guard.guard_all([(w, w + "x") for w in words])
