@@ -6,10 +6,12 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.sources.tables import spread
 
@@ -63,6 +65,24 @@ def released(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of rows that go to Python at once; one row more than fits.
+BATCH_BYTES, _BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """rows.mapInArrow with batches of bounded bytes.
+
+    By default a batch is 10,000 rows or 64 MB, and stands in the executor and in the worker of each of its tasks, in buffers that
+    grow by doubling. The bound is a setting of the session, which holds when the plan is made, so it stays;
+    results do not depend on it, and a smaller number of bytes is left as it is.
+    """
+    conf = rows.sparkSession.conf
+    own = re.fullmatch(r"([0-9]+)b?", conf.get(_BYTES))
+    if own is None or int(own[1]) > BATCH_BYTES:
+        conf.set(_BYTES, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, however often body refers to it."""
     return F.transform(F.array(value), body)[0]

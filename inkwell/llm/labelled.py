@@ -52,7 +52,7 @@ def sampled(docs: DataFrame, chosen: DataFrame, families: tuple[str, ...]) -> Da
     if docs.select("doc_id").join(ids, "doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
         once = once.groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = once.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("grp").cast("int"), "text")
-    table = base.stored(rows.mapInArrow(run, "doc_id bigint, grp int, found array<int>"), "sample")
+    table = base.stored(base.mapped(rows, run, "doc_id bigint, grp int, found array<int>"), "sample")
     base.deleted(chosen)
     return table
 
@@ -88,7 +88,8 @@ def scored(docs: DataFrame, families: tuple[str, ...], weights: np.ndarray, shif
                     scores.append(squash(shift + (total / max(1.0, len(found)) ** 0.5 if normal else total)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + BATCH], pa.int64()), pa.array(folds[i : i + BATCH], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32())], schema=SCORES)
 
-    return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return base.mapped(rows, run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def kept(docs: DataFrame, families: tuple[str, ...], weights: np.ndarray, shift: float, squash: Callable[[float], float], least: float, normal: bool = False) -> DataFrame:
@@ -106,4 +107,4 @@ def kept(docs: DataFrame, families: tuple[str, ...], weights: np.ndarray, shift:
                 good.append(squash(shift + (total / max(1.0, len(found)) ** 0.5 if normal else total)) >= least)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return base.mapped(docs, run, docs.schema)

@@ -278,9 +278,10 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     that holds from there on, whichever executor is lost later.
     """
     whole = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    step = base.stored(whole.mapInArrow(_read(path, long), STEP_DDL), "bpe")
+    step = base.stored(base.mapped(whole, _read(path, long), STEP_DDL), "bpe")
     done = step.where("part is null").select(*RESULT.names)
-    parts = step.where("part is not null").select("row", "doc_id", "n", "tree", "part").repartition("row", "n").mapInArrow(_encode(path), PARTS_DDL)
+    rows = step.where("part is not null").select("row", "doc_id", "n", "tree", "part").repartition("row", "n")
+    parts = base.mapped(rows, _encode(path), PARTS_DDL)
     return done.unionByName(parts.groupBy("row").applyInPandas(_assemble(path), RESULT_DDL))
 
 

@@ -156,7 +156,7 @@ def _rows(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
 
 
 def sets_of(docs: DataFrame, whole: bool) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: _rows(it, whole), "doc_id bigint, n bigint, cls bigint, tokens array<bigint>")
+    return base.mapped(docs.select(F.col("doc_id").cast("bigint"), "text"), lambda it: _rows(it, whole), "doc_id bigint, n bigint, cls bigint, tokens array<bigint>")
 
 
 def _alone(rows: DataFrame, owner: str) -> DataFrame:
@@ -346,7 +346,7 @@ def _tagged(docs: DataFrame, names: list[str]) -> DataFrame:
             tags = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *tags], names=[*names, "_n", "_cls"])
 
-    return renamed.mapInArrow(run, StructType([*renamed.schema.fields, StructField("_n", LongType()), StructField("_cls", LongType())]))
+    return base.mapped(renamed, run, StructType([*renamed.schema.fields, StructField("_n", LongType()), StructField("_cls", LongType())]))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

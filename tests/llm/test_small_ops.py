@@ -10,9 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from compare import rows_of
 from inkwell.llm import base, features, op1_url_filters, op2_media, op3_bpe, op4_jaccard, op5_quality_rules, op6_sharding, op7_licenses, op10_mixing, queries
@@ -463,3 +465,15 @@ def test_a_cluster_needs_a_shared_folder():
         else:
             with pytest.raises(ValueError):
                 base.shared_dir(session)
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark):
+    size = 50_000
+    docs = spark.range(400).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), size).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    found = [r["n"] for r in base.mapped(docs, sizes, "n bigint").collect()]
+    assert sum(found) >= 400 * size and max(found) <= base.BATCH_BYTES + 2 * size
