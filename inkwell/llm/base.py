@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,8 +64,31 @@ def deleted(*tables: DataFrame) -> None:
 def released(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables, and lets Spark delete the shuffle files of finished steps."""
     deleted(*tables)
+    returned(spark)
+
+
+def returned(spark: SparkSession) -> None:
+    """Collects garbage in the driver's Python and JVM, and gives what both hold of freed native memory back to the system.
+
+    What a step took at its peak would otherwise stay with the allocators and stand beside the peaks of all later steps. Where
+    an allocator or a JVM has no call for that, it keeps its memory.
+    """
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> str:
+    """The JVM's own malloc_trim, a diagnostic command since JDK 17.0.9: its report. By reflection, since py4j cannot call the server's hidden class."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    values = new_array(jvm.Object, 4)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
 
 
 #: Bytes of rows that go to Python at once; one row more than fits.

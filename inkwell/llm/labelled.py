@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,9 @@ def gathered(sample: DataFrame, most: int) -> list[tuple[int, np.ndarray]]:
     if len(taken) < len(sizes):
         wanted = sample.sparkSession.createDataFrame(sorted(taken), "doc_id bigint, grp int")
         sample = sample.join(F.broadcast(wanted), ["doc_id", "grp"], "left_semi")
-    table = sample.select("doc_id", "grp", "found").toArrow().sort_by([("doc_id", "ascending"), ("grp", "ascending")])
-    return [(g, np.asarray(f.values, np.int32)) for g, f in zip(table["grp"].to_pylist(), table["found"], strict=True)]
+    table = sample.select("doc_id", "grp", "found").toArrow()
+    rows = [(g, np.asarray(f.values, np.int32)) for g, f in zip(table["grp"].to_pylist(), table["found"], strict=True)]
+    return [rows[i] for i in pc.sort_indices(table, [("doc_id", "ascending"), ("grp", "ascending")]).to_pylist()]  # views: only their order is made anew
 
 
 def scored(docs: DataFrame, families: tuple[str, ...], weights: np.ndarray, shift: float, squash: Callable[[float], float], least: float, normal: bool = False) -> DataFrame:

@@ -224,4 +224,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         once = keyed.join(base.bounded(many), KEYS).groupBy(*KEYS, "_n", "_first").agg(F.first("_row").alias("_row"))
         rows = rows.unionByName(_copies(once).select("_source", "_number", "_row"))
     ordered = located(rows, planned)
+    base.returned(spark)
     return ordered.repartitionByRange("position").sortWithinPartitions("position").select("_row.*")

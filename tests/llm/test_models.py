@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -89,6 +90,17 @@ def test_what_the_driver_takes_is_bounded(spark):
     assert sum(len(f) for _, f in labelled.gathered(sample, 4)) <= 8
 
 
+def test_a_fit_takes_less_memory_than_its_rows():
+    draw = np.random.default_rng(6)
+    rows = [np.unique(draw.integers(0, op8_quality.SIZE, 5000)).astype(np.int32) for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        op8_quality.fit(rows, np.array([1, -1] * 500), {1: 0.7, -1: 0.3})
+        assert tracemalloc.get_traced_memory()[1] < sum(r.nbytes for r in rows)
+    finally:
+        tracemalloc.stop()
+
+
 def test_linear_model_separates():
     rows = [np.array([0, 2], np.int32), np.array([0, 3], np.int32), np.array([1, 2], np.int32), np.array([1, 3], np.int32)] * 5
     model = op8_quality.fit(rows, np.array([1, 1, -1, -1] * 5), {1: 0.5, -1: 0.5})

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -455,6 +456,17 @@ def test_stored_tables_can_be_released(spark):
         spark.read.parquet(df.inputFiles()[0]).count()
 
 
+def test_freed_memory_goes_back_to_the_system(spark):
+    pages = lambda: int(open("/proc/self/statm").read().split()[1])  # noqa: E731, SIM115
+    blocks = [np.ones(1000) for _ in range(25_000)]
+    kept = blocks[::500]
+    del blocks
+    before = pages()
+    base.released(spark)
+    assert (before - pages()) * 4096 > 100e6 and len(kept) == 50
+    assert "rim native heap" in base._trim(spark)
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
